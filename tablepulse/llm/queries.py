@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ._common import table
 from .chat import preference_pairs
+from .packing import pack_documents
 from .quality import quality
+from .sharding import shard
+from .token_counts import token_counts
 from .url_filters import url_filter
 from .warc import archive_round_trip
 
@@ -27,12 +30,27 @@ URL_RULES = (
 )
 
 
+def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents").select("text"))
+
+
+def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
@@ -90,7 +108,10 @@ select page_id, payload_bytes, payload_digest, case when page_id = first_id then
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_histogram_sort": op1_histogram_sort,
         "op2_url_filters": op2_url_filters,
+        "op4_token_counts": op4_token_counts,
+        "op5_vector_packing": op5_vector_packing,
         "op6_quality_rules": op6_quality_rules,
         "op8_warc": op8_warc,
         "op10_chat_formatting": op10_chat_formatting,
