@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ._common import table
 from .chat import preference_pairs
+from .decontaminate import find_contamination, hit_words, matched_items
 from .packing import pack_documents
 from .quality import quality
 from .sharding import shard
@@ -61,6 +62,19 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    out = find_contamination(docs, benchmark).select("doc_id", "n_words", hit_words(F.col("matches")).alias("n_hit"), matched_items(F.col("matches")).alias("items"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k (chosen) and 2k + 1 (rejected) are pair k."""
     turns = table(spark, sf_dir, "conversations").select(F.expr("floor(conv_id / 2)").alias("pair_id"), (F.expr("pmod(conv_id, 2)") == 0).alias("chosen"), "turn", "role", "text")
@@ -105,6 +119,20 @@ select page_id, payload_bytes, payload_digest, case when page_id = first_id then
   case when page_id <> first_id then first_id end as refers_to from f
 """
 
+_OP9_SQL = """
+with dw as (select doc_id, row_number() over () as r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w from documents),
+iw as (select item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w from benchmark),
+wins as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as win
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from iw where len(w) > 0)),
+places as (select r, n, i, array_to_string(w[i:i + n - 1], ' ') as win
+  from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from dw cross join (select distinct n from wins) where len(w) >= n)),
+hits as (select r, i, wins.n, item_id from places join wins on places.win = wins.win and places.n = wins.n),
+words as (select r, count(distinct k) as n_hit from (select r, unnest(range(i, i + n)) as k from (select distinct r, i, n from hits)) group by r),
+items as (select r, count(*) as n_items, sha256(string_agg(item_id, ',' order by item_id)) as s from (select distinct r, item_id::varchar as item_id from hits) group by r)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(s, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join words using (r) left join items using (r)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -114,9 +142,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_vector_packing": op5_vector_packing,
         "op6_quality_rules": op6_quality_rules,
         "op8_warc": op8_warc,
+        "op9_suffix_arrays": op9_suffix_arrays,
         "op10_chat_formatting": op10_chat_formatting,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": _OP2_SQL, "op8_warc": _OP8_SQL, "op10_chat_formatting": _OP10_SQL}
+    return {"op2_url_filters": _OP2_SQL, "op8_warc": _OP8_SQL, "op9_suffix_arrays": _OP9_SQL, "op10_chat_formatting": _OP10_SQL}
