@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ._common import table
 from .chat import preference_pairs
 from .decontaminate import find_contamination, hit_words, matched_items
+from .jaccard import similarity_classes
 from .packing import pack_documents
 from .quality import quality
 from .sharding import shard
@@ -43,6 +44,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("text"))
 
@@ -138,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_histogram_sort": op1_histogram_sort,
         "op2_url_filters": op2_url_filters,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_token_counts": op4_token_counts,
         "op5_vector_packing": op5_vector_packing,
         "op6_quality_rules": op6_quality_rules,
