@@ -34,8 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, remove
+from ._common import cut
 from .graph import components
+from .packed import pack48, unpack48
 from .words import SPACES, mix, pieces, shingles, word_hashes
 
 SHINGLE = 5
@@ -63,22 +64,6 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def _pack48(sorted_values: np.ndarray) -> bytes:
-    """Sorted 48-bit numbers: five bytes for each difference, or six for each number if one is too great."""
-    steps = np.diff(sorted_values, prepend=np.uint64(0))
-    width, values = (5, steps) if not len(steps) or int(steps.max()) < 1 << 40 else (6, sorted_values)
-    return bytes([width]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def _unpack48(data: bytes) -> np.ndarray:
-    width = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
-    values = out.reshape(-1).view("<u8").astype(np.uint64)
-    return np.cumsum(values, dtype=np.uint64) if width == 5 else values
-
-
 def _send(batches: Iterator[pa.RecordBatch], bits: int, size: int) -> Iterator[pa.RecordBatch]:
     task, k = TaskContext.get().partitionId(), 0
     for batch in pieces(batches, "text"):
@@ -119,7 +104,7 @@ def _send_batch(batch: pa.RecordBatch, key: int, bits: int, size: int) -> pa.Rec
     for k in range(1 << bits):
         a, b = edges[k], edges[k + 1]
         if b > a:
-            rows.append((k, key, False, pickle.dumps((_pack48(low[a:b]), ref[a:b].tobytes(), count[a:b][~alone[a:b]].astype("<u4").tobytes()))))
+            rows.append((k, key, False, pickle.dumps((pack48(low[a:b]), ref[a:b].tobytes(), count[a:b][~alone[a:b]].astype("<u4").tobytes()))))
     ids = batch["doc_id"]
     table = (ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), n, sums, of, every[shared], owner[shared].astype(np.uint16))
     rows.append((key % (1 << bits), key, True, pickle.dumps(table, protocol=5)))
@@ -139,7 +124,7 @@ def _count(table: pa.Table) -> pa.Table:
         refs = np.frombuffer(refs, "<u2")
         c = np.ones(len(refs), np.int64)
         c[refs == 0xFFFF] = np.frombuffer(counts, "<u4")
-        low.append(_unpack48(packed))
+        low.append(unpack48(packed))
         ref.append(refs)
         count.append(c)
         sender.append(np.full(len(refs), len(senders), np.int32))
@@ -160,7 +145,7 @@ def _count(table: pa.Table) -> pa.Table:
             if m.any():
                 d = df[own][m]
                 small = np.minimum(d, 255).astype(np.uint8)
-                out.append((r, batch, False, pickle.dumps((_pack48(low[own][m]), ref[own][m].astype("<u2").tobytes(), small.tobytes(), d[d >= 255].astype("<u8").tobytes()))))
+                out.append((r, batch, False, pickle.dumps((pack48(low[own][m]), ref[own][m].astype("<u2").tobytes(), small.tobytes(), d[d >= 255].astype("<u8").tobytes()))))
     kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
     columns = list(zip(*out)) if out else [()] * 4
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["r", "batch", "docs", "data"])
@@ -194,7 +179,7 @@ def _assemble(table: pa.Table, percent: int) -> pa.Table:
         if docs:
             known = got
             continue
-        low.append(_unpack48(got[0]) + np.uint64(r << 48))
+        low.append(unpack48(got[0]) + np.uint64(r << 48))
         ref.append(np.frombuffer(got[1], "<u2"))
         d = np.frombuffer(got[2], np.uint8).astype(np.int64)
         d[d == 255] = np.frombuffer(got[3], "<u8").astype(np.int64)

@@ -15,6 +15,7 @@ from ._common import table
 from .chat import preference_pairs
 from .decontaminate import find_contamination, hit_words, matched_items
 from .jaccard import similarity_classes
+from .lm import score_documents
 from .packing import pack_documents
 from .quality import quality
 from .sharding import shard
@@ -62,6 +63,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
 
 
+def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -147,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_vector_packing": op5_vector_packing,
         "op6_quality_rules": op6_quality_rules,
+        "op7_attention_lm": op7_attention_lm,
         "op8_warc": op8_warc,
         "op9_suffix_arrays": op9_suffix_arrays,
         "op10_chat_formatting": op10_chat_formatting,
