@@ -1,13 +1,20 @@
-"""The corpus pipeline: a list of stages over ``documents``."""
+"""The corpus pipeline: quality rules, near-duplicate removal, decontamination and packing of ``documents``.
+
+Every stage works on all rows that the one before it kept, and returns the columns of ``documents``; the last
+returns packed pieces. ``run`` writes each stage's result to the shared folder and reads it again, so a lost
+executor costs a stage at most.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tablepulse.llm._common import cut
+from tablepulse.llm._common import cut, ship, table
+from tablepulse.llm.decontaminate import decontaminate
+from tablepulse.llm.jaccard import keep_one
+from tablepulse.llm.packing import pack_documents
 from tablepulse.llm.quality import quality
 
 
@@ -16,13 +23,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality(docs).where("kept").select(*docs.columns)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, of each group that links of 0.75 and more join."""
+    ship(spark)
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no ten words in a row (or whole shorter item) of ``benchmark`` stand."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 tokens."""
+    ship(spark)
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
+#: Subword ids are beyond SQL; tests/llm holds the stages against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)
     return docs
