@@ -58,10 +58,11 @@ def write_warc(captures: DataFrame, path: str, file_captures: int = FILE_CAPTURE
     uri = _one_line(F.coalesce("url", F.lit("")))
     size = lambda c: F.octet_length(c).cast("string")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=UTF-8{CRLF}Content-Length: "), F.col("length").cast("string"), F.lit(CRLF * 2))
-    both = (("WARC-Record-ID", F.col("rid")), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), ("Content-Type", F.lit("application/http; msgtype=response")))
+    digest = (("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), ("X-Payload-Length", F.col("length").cast("string")))
+    both = (("WARC-Record-ID", F.col("rid")), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", uri), *digest, ("Content-Type", F.lit("application/http; msgtype=response")))
     full = F.concat(http, F.col("html"))
     response = F.concat(_header("response", *both, ("Content-Length", size(full))), full)
-    again = (("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("X-Payload-Length", F.col("length").cast("string")), ("Content-Length", size(http)))
+    again = (("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("Content-Length", size(http)))
     revisit = F.concat(_header("revisit", *both, *again), http)
     ask = F.concat(F.lit(f"GET / HTTP/1.1{CRLF}X-Target: "), uri, F.lit(CRLF * 2))
     to = ("WARC-Concurrent-To", F.col("rid"))
@@ -149,19 +150,26 @@ def transactions(records: DataFrame) -> DataFrame:
     return main.join(side("request"), "capture_id", "left").join(side("metadata"), "capture_id", "left")
 
 
-def resolve(captures: DataFrame) -> DataFrame:
-    """Captures with ``page_id``, ``payload_length`` and, for revisits, ``refers_to``: the page of the response
-    with the same payload. Revisits carry no payload, so the join moves small rows only."""
-    page = F.regexp_extract("metadata.text", "(?m)^page-id: (-?[0-9]+)\r?$", 1)
+def resolve(captures: DataFrame, records: DataFrame, least: int) -> DataFrame:
+    """Captures as flat rows, revisits with ``refers_to``: the page of the response with the same payload.
+
+    Which response a digest has is told by headers and metadata records alone, so payloads move once.
+    """
+    number = F.regexp_extract("metadata.text", "(?m)^page-id: (-?[0-9]+)\r?$", 1)
+    page = F.when(number != "", number.cast("long"))
+    heads = records.where("warc_type = 'response'").where(F.col("payload_length") >= least).select(F.col("record_id").alias("id"), F.substring_index("payload_digest", ":", -1).alias("told"))
+    pages = records.where("warc_type = 'metadata'").select(F.col("concurrent_to").alias("id"), F.struct(F.col("block").cast("string").alias("text")).alias("metadata")).select("id", page.alias("page"))
+    first = heads.join(pages, "id").groupBy("told").agg(F.min("page").alias("first"))
     flat = captures.select(
-        F.when(page != "", page.cast("long")).alias("page_id"),
+        page.alias("page_id"),
         F.col("response.warc_type").alias("record_type"),
         F.col("response.target_uri").alias("url"),
         F.coalesce(F.sha2("response.payload", 256), "response.payload_digest").alias("payload_digest"),
         F.coalesce(F.octet_length("response.payload").cast("long"), "response.payload_length").alias("payload_bytes"),
         F.col("response.payload").alias("payload"),
+        F.when(F.col("response.warc_type") == "revisit", F.col("response.payload_digest")).otherwise(F.concat(F.lit("-"), "capture_id")).alias("told"),
     )
-    return flat
+    return flat.join(first, "told", "left").withColumnRenamed("first", "refers_to").drop("told")
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None, least: int = LEAST_REVISIT) -> DataFrame:
@@ -176,9 +184,5 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, least: int = L
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_warc(plan_captures(pages, least), path)
-    flat = resolve(transactions(read_records(spark, path)))
-    responses = flat.where(F.col("record_type") == "response").where(F.col("payload_bytes") >= least)
-    first = responses.groupBy("payload_digest").agg(F.min("page_id").alias("__first"))
-    revisits = flat.where(F.col("record_type") == "revisit").join(first, "payload_digest", "left").withColumnRenamed("__first", "refers_to")
-    rest = flat.where(F.col("record_type") != "revisit").withColumn("refers_to", F.lit(None).cast("long"))
-    return rest.unionByName(revisits)
+    records = read_records(spark, path)
+    return resolve(transactions(records), records, least)
