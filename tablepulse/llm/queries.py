@@ -17,7 +17,7 @@ from .decontaminate import find_contamination, hit_words, matched_items
 from .jaccard import similarity_classes
 from .lm import score_documents
 from .packing import pack_documents
-from .quality import quality
+from .quality import RULES, STOP_WORDS, quality
 from .sharding import shard
 from .token_counts import token_counts
 from .url_filters import url_filter
@@ -144,6 +144,30 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
 from dw left join words using (r) left join items using (r)
 """
 
+_SPACE = "\\x20\\x09-\\x0D"
+
+
+def _op6_sql() -> str:
+    def fails(rule) -> str:
+        ratio = rule.top if rule.bottom is None else f"{rule.top} / greatest({rule.bottom}, 1)"
+        bounds = [f"{ratio} < {rule.low}"] * (rule.low is not None) + [f"{ratio} > {rule.high}"] * (rule.high is not None)
+        return f"case when ({' or '.join(bounds)}) and n_words >= {rule.least_words} then '{rule.name}' end"
+
+    stops = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^{_SPACE}]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) as lines from d),
+windows as (select r, i, array_to_string(w[i:i + 4], ' ') as k from (select r, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
+often as (select r, i, count(*) over (partition by r, k) as n from windows),
+covered as (select r, count(distinct p) as n from (select r, unnest(range(i, i + 5)) as p from often where n > 1) group by r),
+m as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, len(lines) as n_lines,
+  len(lines) - len(list_distinct(lines)) as n_dup_lines, len(list_filter(lines, lambda x: regexp_matches(x, '^[{_SPACE}]*[-*•]'))) as n_bullet_lines,
+  len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[{_SPACE}]*$'))) as n_ellipsis_lines, len(list_filter([{stops}], lambda x: list_contains(w, x))) as n_stop_words,
+  len(regexp_extract_all(text, '\\p{{Lu}}')) as n_capitals, coalesce(n, 0) as n_repeat_words from w left join covered using (r)),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, coalesce(array_to_string(list_filter([{', '.join(map(fails, RULES))}], lambda x: x is not null), ','), '') as failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and failed = '' as kept, failed from f
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -161,4 +185,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": _OP2_SQL, "op8_warc": _OP8_SQL, "op9_suffix_arrays": _OP9_SQL, "op10_chat_formatting": _OP10_SQL}
+    return {"op2_url_filters": _OP2_SQL, "op6_quality_rules": _op6_sql(), "op8_warc": _OP8_SQL, "op9_suffix_arrays": _OP9_SQL, "op10_chat_formatting": _OP10_SQL}
