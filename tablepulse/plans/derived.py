@@ -98,3 +98,21 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "check_history")
     zero = F.lit(0).cast("long")
     return rows.select(F.col("table_id").cast("string").alias("table_name"), "severity", F.col("finding_count").cast("long").alias("finding_count"), zero.alias("critical_count"), zero.alias("warning_count"), ids.alias("finding_ids"), F.lit(None).cast("string").alias("report"), "checked_at")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived tables and snapshots as metadata JSON, as a catalog would hand it out."""
+    filled = lambda n: F.transform(F.filter(F.array(F.lit(1)), lambda x: n > 0), lambda x: F.struct(x.alias("source-id"), F.lit("identity").alias("transform"), F.lit("f").alias("name")))
+    snapshots = view(spark, sf_dir, "snapshots").groupBy("table_id").agg(F.collect_list(F.struct(F.col("snapshot_id").alias("snapshot-id"), F.floor(F.unix_micros("ts") / 1000).alias("timestamp-ms"), F.create_map(F.lit("operation"), F.lit("append")).alias("summary"))).alias("snapshots"))
+    rows = view(spark, sf_dir, "tables").join(snapshots, "table_id", "left")
+    document = F.struct(
+        F.col("format_version").alias("format-version"),
+        F.lit("s3://bucket/table").alias("location"),
+        F.when(F.col("declared_target_bytes").isNotNull(), F.create_map(F.lit("write.target-file-size-bytes"), F.col("declared_target_bytes").cast("string"))).alias("properties"),
+        F.lit(1).alias("default-spec-id"),
+        F.array(F.struct(F.lit(1).alias("spec-id"), filled(F.col("partition_field_count")).alias("fields"))).alias("partition-specs"),
+        F.lit(1).alias("default-sort-order-id"),
+        F.array(F.struct(F.lit(1).alias("order-id"), filled(F.col("sort_field_count")).alias("fields"))).alias("sort-orders"),
+        "snapshots",
+    )
+    return rows.select(F.col("table_id").cast("string").alias("table_id"), "table_name", F.to_json(document).alias("json"), "metadata_size_bytes")

@@ -12,7 +12,9 @@ from ..config import CostAssumptions
 from ..operators import aggregates, cost, fix, fleet, watch
 from ..operators.checks import REGISTRY
 from . import engine
-from .derived import AS_OF, THRESHOLDS, history, relations, with_views
+from ..sources import metadata_json
+from ..sources.demo import demo_relations
+from .derived import AS_OF, THRESHOLDS, documents, history, relations, with_views
 
 WATCH_AS_OF, WATCH_DAYS = datetime(2024, 1, 31), 2
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +65,14 @@ def _flat(alerts: DataFrame) -> DataFrame:
     return alerts.select("table_name", "previous_severity", "current_severity", "message", "alerted_at")
 
 
+def _parsed(f: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
+    return lambda spark, d: f(metadata_json.parse(documents(spark, d))).select(*columns)
+
+
+def _demo(spark: SparkSession, d: str) -> DataFrame:
+    return engine.findings(demo_relations(spark, AS_OF), THRESHOLDS, AS_OF).select("check_id", "severity")
+
+
 def queries() -> dict[str, Query]:
     # fixed table of the fixes' ids by finding
     named = {"partition_spec_evolution": "spec_evolution"}
@@ -92,6 +102,9 @@ def queries() -> dict[str, Query]:
         "fleet_format_v1": _fleet("format_v1"),
         "fleet_top_offenders": _fleet("top_offenders"),
         "catalog_summary": _status(fleet.catalog_summary),
+        "parse_metadata_json": _parsed(metadata_json.tables, "table_id", "table_name", "format_version", "declared_target_bytes", "default_spec_id", "partition_field_count", "sort_field_count", "metadata_size_bytes"),
+        "parse_snapshots": _parsed(metadata_json.snapshots, "table_id", "snapshot_id", "operation"),
+        "demo_source": _demo,
         "latest_report": _history(lambda h: watch.latest_report(h, "7").select("table_name", "severity", "finding_count", "checked_at")),
         "history": _history(lambda h: watch.recent(h, "7", 20).select("table_name", "severity", "finding_count", "checked_at")),
         "all_latest": _history(lambda h: watch.all_latest(h).select("table_name", "severity", "finding_count", "checked_at")),
@@ -275,6 +288,8 @@ def oracle_sql() -> dict[str, str]:
         "fleet_format_v1": f"{_W} select table_id, table_name from w where format_version = 1",
         "fleet_top_offenders": f"{_FINDINGS} select table_id, table_name, severity, critical_count, warning_count from status order by critical_count desc, warning_count desc, table_name limit 10",
         "catalog_summary": f"{_FINDINGS} select table_name, severity, critical_count, warning_count from status",
+        "parse_metadata_json": f"{_W} select table_id::varchar as table_id, table_name, format_version, declared_target_bytes, default_spec_id, partition_field_count, sort_field_count, metadata_size_bytes from w",
+        "parse_snapshots": f"{_W} select table_id::varchar as table_id, snapshot_id, 'append' as operation from snapshots",
         "latest_report": f"{_HISTORY} {latest} where table_name = '7' order by checked_at desc limit 1",
         "history": f"{_HISTORY} {latest} where table_name = '7' order by checked_at desc limit 20",
         "all_latest": f"{_HISTORY} {latest} where (table_name, checked_at) in (select table_name, max(checked_at) from h group by 1)",
