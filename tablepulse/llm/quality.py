@@ -169,16 +169,19 @@ def compile_rules(rules, column) -> Column:
     return F.array_compact(F.array(*failed))
 
 
+def _verdict(m: Column, rules) -> Column:
+    """The counts and what follows from them, as one value: a filter on ``kept`` then works them out once."""
+    failed, base = compile_rules(rules, lambda c: m[c]), base_failed(m["n_words"], m["n_repeat_words"])
+    return _let(failed, lambda f: F.struct(*(m[c].alias(c) for c in COUNTS), base.alias("base_failed"), f.alias("failed"), (~base & (F.size(f) == 0)).alias("kept")))
+
+
 def quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """Each row of ``docs`` with its counts, ``base_failed``, ``failed`` (names of rules) and ``kept``.
 
     Null and empty texts have no words: they fail the base rule, and are not kept. Repeated rows are judged
     each for itself. An empty table gives an empty result. Input columns named like a result's are replaced.
     """
-    own = ("quality", "base_failed", "failed", "kept", *COUNTS)
+    own = ("base_failed", "failed", "kept", *COUNTS)
     keep = without(docs.withColumn("__text", F.col(text)), *(c for c in own if c != text))
-    out = keep.withColumn("__m", measures(F.col("__text"))).drop("__text")
-    out = out.withColumns({c: F.col("__m")[c] for c in COUNTS}).drop("__m")
-    out = out.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    out = out.withColumn("failed", compile_rules(rules, F.col))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    out = keep.withColumn("__q", _let(measures(F.col("__text")), lambda m: _verdict(m, rules))).drop("__text")
+    return out.withColumns({c: F.col("__q")[c] for c in (*COUNTS, "base_failed", "failed", "kept")}).drop("__q")
