@@ -17,7 +17,7 @@ from .packed import ranges
 CONTEXT, STRIDE = 32, 24
 DIM, HIDDEN = 16, 32
 #: Windows that are scored, or learned from, together.
-BATCH, LEARN = 512, 96
+BATCH, LEARN = 256, 96
 RATE = 0.12
 
 
@@ -56,7 +56,7 @@ class Tree:
             lengths[leaf] += 1
             at = parent[at]
         order = np.argsort(np.concatenate(own), kind="stable") if own else np.zeros(0, np.int64)
-        self.node = np.concatenate(nodes)[order].astype(np.int32) if own else np.zeros(0, np.int32)
+        self.node = np.concatenate(nodes)[order].astype(np.int64) if own else np.zeros(0, np.int64)
         self.sign = np.concatenate(signs)[order].astype(np.float32) if own else np.zeros(0, np.float32)
         self.begin = np.concatenate([[0], np.cumsum(lengths)])
 
@@ -94,7 +94,7 @@ _MASK = np.where(np.tri(CONTEXT, dtype=bool), np.float32(0), np.float32(-1e9))
 
 def hidden(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
     """States after each place of the windows ``x``, from that place and those before it."""
-    X = m["E"][x] + m["P"][: x.shape[1]]
+    X = m["E"].take(x, axis=0) + m["P"][: x.shape[1]]
     flat_x = X.reshape(-1, DIM)
     Q, K, V = ((flat_x @ m[w]).reshape(X.shape) for w in ("Wq", "Wk", "Wv"))
     S = Q @ K.transpose(0, 2, 1)
@@ -112,9 +112,9 @@ def hidden(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
 def choices(m: dict[str, np.ndarray], tree: Tree, g: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
     """For each node on the paths of ids ``y``: which state decides, the node, its sign and sign * log odds."""
     which, at = ranges(tree.begin[y], tree.begin[y + 1])
-    node, sign = tree.node[at], tree.sign[at]
-    z = np.einsum("ij,ij->i", g[which], m["N"][node])
-    z += m["b"][node]
+    node, sign = tree.node.take(at), tree.sign.take(at)
+    z = np.einsum("ij,ij->i", g.take(which, axis=0), m["N"].take(node, axis=0))
+    z += m["b"].take(node)
     z *= sign
     return which, node, sign, z
 
@@ -124,8 +124,14 @@ def log_probability(m: dict[str, np.ndarray], tree: Tree, g: np.ndarray, y: np.n
     if not len(y):
         return np.zeros(0)
     z = choices(m, tree, g, y)[3]
-    loss = np.log1p(np.exp(-np.abs(z))) + np.maximum(-z, 0)
-    return -np.add.reduceat(loss, tree.begin[y + 1].cumsum() - tree.begin[y].cumsum() - (tree.begin[y + 1] - tree.begin[y]), dtype=np.float64)
+    loss = np.abs(z)
+    np.negative(loss, out=loss)
+    np.exp(loss, out=loss)
+    loss += np.float32(1)
+    np.log(loss, out=loss)
+    loss -= np.minimum(z, np.float32(0))
+    length = tree.begin[y + 1] - tree.begin[y]
+    return -np.add.reduceat(loss, length.cumsum() - length, dtype=np.float64)
 
 
 def step(m: dict[str, np.ndarray], past: dict[str, np.ndarray], tree: Tree, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> None:
@@ -172,28 +178,37 @@ def _rows(m: dict[str, np.ndarray], past: dict[str, np.ndarray], name: str, row:
     m[name][row] -= np.float32(RATE) * d / np.sqrt(past[name][row])
 
 
-def cut_windows(ids: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Overlapping windows over texts of ``ids`` that begin ``at``; each text ends with ``end`` and is read as if
-    after one. Returns inputs, next ids, which of those the window scores (each id of a text once in all its
-    windows), and the text of each window."""
+def window_places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and number of each window over texts that begin ``at``."""
     length = np.diff(at)
-    n = np.where(length <= CONTEXT, 1, 1 + -(-(length - CONTEXT) // STRIDE))
-    text, k = ranges(np.zeros(len(n), np.int64), n)
+    return ranges(np.zeros(len(length), np.int64), np.where(length <= CONTEXT, 1, 1 + -(-(length - CONTEXT) // STRIDE)))
+
+
+def fill_windows(ids: np.ndarray, at: np.ndarray, end: int, text: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, next ids, and which of those are scored, for windows ``k`` of ``text``."""
     place = k[:, None] * STRIDE + np.arange(CONTEXT)
-    there = place < length[text][:, None]
+    there = place < np.diff(at)[text][:, None]
     scored = there & ((k[:, None] == 0) | (np.arange(CONTEXT) >= CONTEXT - STRIDE))
     index = np.where(there, at[text][:, None] + place, 0)
     y = np.where(there, ids[index], end)
-    x = np.where(place > 0, ids[np.maximum(index - 1, 0)], end)
-    return np.where(there, x, end), y, scored, text
+    x = np.where(there & (place > 0), ids[np.maximum(index - 1, 0)], end)
+    return x, y, scored
+
+
+def cut_windows(ids: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping windows over texts of ``ids`` that begin ``at``; each text ends with ``end`` and is read as if
+    after one. Returns inputs, next ids, which of those the window scores (each id of a text once in all its
+    windows), and the text of each window."""
+    text, k = window_places(at)
+    return *fill_windows(ids, at, end, text, k), text
 
 
 def score(m: dict[str, np.ndarray], tree: Tree, ids: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
     """Natural logarithm of the probability of each text."""
     out = np.zeros(len(at) - 1)
     step_texts = 0
-    while step_texts < len(at) - 1:  # texts of about a million ids at a time
-        last = max(step_texts + 1, int(np.searchsorted(at, at[step_texts] + (1 << 20), "right")) - 1)
+    while step_texts < len(at) - 1:  # texts of some hundred thousand ids at a time
+        last = max(step_texts + 1, int(np.searchsorted(at, at[step_texts] + (1 << 18), "right")) - 1)
         own = at[step_texts : last + 1]
         for x, y, scored, text in _blocks(ids[own[0] : own[-1]], own - own[0], end):
             state, _ = hidden(m, x)
@@ -205,9 +220,10 @@ def score(m: dict[str, np.ndarray], tree: Tree, ids: np.ndarray, at: np.ndarray,
 
 
 def _blocks(ids: np.ndarray, at: np.ndarray, end: int):
-    x, y, scored, text = cut_windows(ids, at, end)
-    for i in range(0, len(x), BATCH):
-        yield x[i : i + BATCH], y[i : i + BATCH], scored[i : i + BATCH], text[i : i + BATCH]
+    text, k = window_places(at)
+    for i in range(0, len(text), BATCH):
+        own = text[i : i + BATCH]
+        yield *fill_windows(ids, at, end, own, k[i : i + BATCH]), own
 
 
 def train(m: dict[str, np.ndarray], tree: Tree, blocks) -> int:

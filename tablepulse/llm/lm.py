@@ -39,6 +39,9 @@ PARTS = 32
 #: Distinct words of one range of hashes, about.
 RANGE_WORDS = 1 << 20
 
+#: Bytes of the texts that a task holds at a time.
+BATCH_BYTES = 4 << 20
+
 _FACTS = "kind int, r int, data binary"
 _WORDS, _UNITS, _WINDOWS, _WANTED, _DOCS = range(5)
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -112,19 +115,19 @@ def _gather(batches: Iterator[pa.RecordBatch], bits: int, path: str, every: int)
     """Facts of the training documents of one task."""
     end = _end(path)
     units = np.zeros(end + 1, np.int64)
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", BATCH_BYTES):
         b = _Batch(batch["text"], path)
         counts = np.bincount(b.word, minlength=len(b.types))
         low = _low(b.types, bits)
         rows = [(_WORDS, k, pickle.dumps((pack48(low[i:j]), counts[i:j].astype("<u4").tobytes()))) for k, i, j in _by_range(b.types, bits)]
         ids, at = b.sequences(end)
         units += np.bincount(ids, minlength=end + 1)
-        x, y, scored, text = attention.cut_windows(ids, at, end)
-        k = np.arange(len(text)) - np.searchsorted(text, text)
+        text, k = attention.window_places(at)
         chance = np.array([zlib.crc32(str(d).encode()) // FOLDS for d in batch["doc_id"].to_pylist()])
         pick = (k + chance[text]) % every == 0
-        stored = np.column_stack([x[pick], y[pick][:, -1:]])
-        rows.append((_WINDOWS, 0, pickle.dumps((stored.astype("<u4" if end > 0xFFFF else "<u2"), np.packbits(scored[pick], axis=1)))))
+        x, y, scored = attention.fill_windows(ids, at, end, text[pick], k[pick])
+        stored = np.column_stack([x, y[:, -1:]])
+        rows.append((_WINDOWS, 0, pickle.dumps((stored.astype("<u4" if end > 0xFFFF else "<u2"), np.packbits(scored, axis=1)))))
         yield _fact_batch(rows)
     seen = np.flatnonzero(units)
     if len(seen):
@@ -210,7 +213,7 @@ def _ask(batches: Iterator[pa.RecordBatch], bits: int, path: str, sent) -> Itera
     end = _end(path)
     model = attention.unflat(values, end + 1)
     key = TaskContext.get().partitionId() << 32
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", BATCH_BYTES):
         b = _Batch(batch["text"], path)
         ids, at = b.sequences(end)
         score = attention.score(model, tree, ids, at, end) / np.log(10)

@@ -27,4 +27,6 @@ def ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For all i and low[i] <= j < high[i]: the i, and the j."""
     n = np.maximum(high - low, 0)
     which = np.repeat(np.arange(len(low)), n)
-    return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    out = np.repeat(low - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
+    return which, out
