@@ -8,6 +8,7 @@ counts), a logistic choice at each node, so probabilities sum to one at a cost o
 from __future__ import annotations
 
 import heapq
+from functools import cached_property
 
 import numpy as np
 
@@ -18,6 +19,8 @@ CONTEXT, STRIDE = 32, 24
 DIM, HIDDEN = 16, 32
 #: Windows that are scored, or learned from, together.
 BATCH, LEARN = 256, 96
+#: The heaviest nodes of the tree, which most paths share, are worked out for all ids by matrix products.
+TOP = 64
 RATE = 0.12
 
 
@@ -60,6 +63,20 @@ class Tree:
         self.sign = np.concatenate(signs)[order].astype(np.float32) if own else np.zeros(0, np.float32)
         self.begin = np.concatenate([[0], np.cumsum(lengths)])
 
+    @cached_property
+    def top(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """The first of the heaviest nodes (Huffman's come last), the sign of each id's turn at each of them (0:
+        not on its path), and where the rest of each id's path ends (nodes rise along a path)."""
+        first = max(0, len(self.odds) - TOP)
+        high = self.node >= first
+        own = np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))
+        turn = np.zeros((len(self.begin) - 1, len(self.odds) - first), np.int8)
+        turn[own[high], self.node[high] - first] = self.sign[high]
+        return first, turn, self.begin[:-1] + np.bincount(own[~high], minlength=len(self.begin) - 1)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "top"}
+
 
 def shapes(n_ids: int) -> dict[str, tuple[int, ...]]:
     d, h = DIM, HIDDEN
@@ -89,7 +106,8 @@ def unflat(values: np.ndarray, n_ids: int) -> dict[str, np.ndarray]:
     return out
 
 
-_MASK = np.where(np.tri(CONTEXT, dtype=bool), np.float32(0), np.float32(-1e9))
+#: What the product of a place with each before it may be at most; with those after it: nothing.
+_MOST = np.where(np.tri(CONTEXT, dtype=bool), np.float32(60), np.float32(-1e9))
 
 
 def hidden(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -97,12 +115,10 @@ def hidden(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
     X = m["E"].take(x, axis=0) + m["P"][: x.shape[1]]
     flat_x = X.reshape(-1, DIM)
     Q, K, V = ((flat_x @ m[w]).reshape(X.shape) for w in ("Wq", "Wk", "Wv"))
-    S = Q @ K.transpose(0, 2, 1)
-    S *= np.float32(DIM**-0.5)
-    S += _MASK[: x.shape[1], : x.shape[1]]
-    np.minimum(S, np.float32(60), out=S)
+    S = (Q * np.float32(DIM**-0.5)) @ np.ascontiguousarray(K.transpose(0, 2, 1))
+    np.minimum(S, _MOST[: x.shape[1], : x.shape[1]], out=S)
     np.exp(S, out=S)
-    S /= S.sum(axis=2, keepdims=True)
+    S /= S @ np.ones((x.shape[1], 1), S.dtype)
     C = (S @ V).reshape(-1, DIM)
     H = flat_x + C @ m["Wo"]
     R = np.maximum(H @ m["W1"] + m["b1"], np.float32(0))
@@ -110,28 +126,44 @@ def hidden(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
 
 
 def choices(m: dict[str, np.ndarray], tree: Tree, g: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each node on the paths of ids ``y``: which state decides, the node, its sign and sign * log odds."""
-    which, at = ranges(tree.begin[y], tree.begin[y + 1])
+    """Of the heaviest nodes: the sign of each id ``y`` and sign * log odds. For each other node on the paths of
+    ``y``: which state decides, the node, its sign and sign * log odds."""
+    first, turn, low = tree.top
+    turned = turn.take(y, axis=0).astype(g.dtype)
+    top = g @ m["N"][first:].T
+    top += m["b"][first:]
+    top *= turned
+    which, at = ranges(tree.begin[y], low[y])
     node, sign = tree.node.take(at), tree.sign.take(at)
     z = np.einsum("ij,ij->i", g.take(which, axis=0), m["N"].take(node, axis=0))
     z += m["b"].take(node)
     z *= sign
-    return which, node, sign, z
+    return turned, top, which, node, sign, z
 
 
 def log_probability(m: dict[str, np.ndarray], tree: Tree, g: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural logarithm of the probability of each id ``y`` after the state ``g``."""
     if not len(y):
         return np.zeros(0)
-    z = choices(m, tree, g, y)[3]
-    loss = np.abs(z)
-    np.negative(loss, out=loss)
-    np.exp(loss, out=loss)
-    loss += np.float32(1)
-    np.log(loss, out=loss)
-    loss -= np.minimum(z, np.float32(0))
-    length = tree.begin[y + 1] - tree.begin[y]
-    return -np.add.reduceat(loss, length.cumsum() - length, dtype=np.float64)
+    turned, top, which, _, _, z = choices(m, tree, g, y)
+    # log(1 + exp(-z)) is log(1 + exp(-|z|)) - min(z, 0); factors of 1 to 2 can be multiplied before the logarithm
+    one = np.ones(top.shape[1], top.dtype)
+    out = top @ one
+    size = np.abs(top, out=top)
+    out -= size @ one
+    out *= 0.5
+    np.negative(size, out=size)
+    factor = np.exp(size, out=size)
+    factor *= np.abs(turned, out=turned)
+    factor += 1
+    while factor.shape[1] > 1:
+        half = factor.shape[1] // 2
+        factor = np.concatenate([factor[:, :half] * factor[:, half : 2 * half], factor[:, 2 * half :]], axis=1)
+    out = out.astype(np.float64) - np.log(factor[:, 0]) if factor.shape[1] else np.zeros(len(y))
+    size = np.abs(z)
+    loss = np.log(1 + np.exp(-size))
+    loss += (size - z) * 0.5
+    return out - np.bincount(which, loss, len(y))
 
 
 def step(m: dict[str, np.ndarray], past: dict[str, np.ndarray], tree: Tree, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> None:
@@ -139,13 +171,19 @@ def step(m: dict[str, np.ndarray], past: dict[str, np.ndarray], tree: Tree, x: n
     out, (X, Q, K, V, A, C, H, R) = hidden(m, x)
     keep = np.flatnonzero(scored.reshape(-1))
     g, ids = out[keep], y.reshape(-1)[keep]
-    which, node, sign, z = choices(m, tree, g, ids)
-    dz = (-sign / (1 + np.exp(np.minimum(z, 60)))).astype(np.float32)
-    length = tree.begin[ids + 1] - tree.begin[ids]
+    turned, top, which, node, sign, z = choices(m, tree, g, ids)
+    first = tree.top[0]
+    dtop, dz = _pull(turned, top), _pull(sign, z)
     grad = {}
-    dg = np.add.reduceat(dz[:, None] * m["N"][node], length.cumsum() - length)
-    _rows(m, past, "N", node, dz[:, None] * g[which])
-    _rows(m, past, "b", node, dz)
+    dg = dtop @ m["N"][first:]
+    if len(which):
+        begin = np.flatnonzero(np.diff(which, prepend=-1))
+        dg[which[begin]] += _sums(dz[:, None] * m["N"].take(node, axis=0), begin)
+    _adagrad(m["N"][first:], past["N"][first:], dtop.T @ g)
+    _adagrad(m["b"][first:], past["b"][first:], dtop.sum(axis=0))
+    order, rows, begin = _groups(node, len(m["b"]))
+    _rows(m, past, "N", rows, begin, (dz[:, None] * g.take(which, axis=0)).take(order, axis=0))
+    _rows(m, past, "b", rows, begin, dz.take(order))
     dG = np.zeros_like(out)
     dG[keep] = dg
     grad["W2"] = R.T @ dG
@@ -154,28 +192,61 @@ def step(m: dict[str, np.ndarray], past: dict[str, np.ndarray], tree: Tree, x: n
     dH = dG + dU @ m["W1"].T
     grad["Wo"] = C.T @ dH
     dC = (dH @ m["Wo"].T).reshape(Q.shape)
-    dA = dC @ V.transpose(0, 2, 1)
-    dS = A * (dA - (dA * A).sum(axis=2, keepdims=True)) * np.float32(DIM**-0.5)
+    dS = dC @ np.ascontiguousarray(V.transpose(0, 2, 1))
+    dS -= np.einsum("ij,ij->i", dC.reshape(C.shape), C).reshape(*x.shape, 1)
+    dS *= A
+    dS *= np.float32(DIM**-0.5)
     dX = dH
     for name, d in (("Wq", dS @ K), ("Wk", dS.transpose(0, 2, 1) @ Q), ("Wv", A.transpose(0, 2, 1) @ dC)):
         d = d.reshape(-1, DIM)
         grad[name] = X.T @ d
         dX = dX + d @ m[name].T
     grad["P"] = dX.reshape(*x.shape, DIM).sum(axis=0)
-    _rows(m, past, "E", x.reshape(-1), dX)
+    order, rows, begin = _groups(x.reshape(-1), len(m["E"]))
+    _rows(m, past, "E", rows, begin, dX.take(order, axis=0))
     for k, d in grad.items():
-        past[k] += d * d
-        m[k] -= np.float32(RATE) * d / np.sqrt(past[k])
+        _adagrad(m[k], past[k], d)
+
+
+def _pull(sign: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The derivative of log(1 + exp(-z)) by the log odds: -sign / (1 + exp(z)). Overwrites z."""
+    z *= 0.5
+    np.tanh(z, out=z)
+    z -= 1
+    z *= 0.5
+    z *= sign
+    return z
+
+
+def _sums(d: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows; pairs of columns are added as complex numbers, which takes half the time."""
+    if d.ndim == 1:
+        return np.add.reduceat(d, begin)
+    return np.add.reduceat(d.view(np.result_type(d.dtype, np.complex64)), begin).view(d.dtype)
+
+
+def _adagrad(values: np.ndarray, past: np.ndarray, d: np.ndarray) -> None:
+    past += d * d
+    values -= np.float32(RATE) * d / np.sqrt(past)
+
+
+def _groups(row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings equal rows together, the rows, and where each begins."""
+    order = np.argsort(row.astype(np.uint16) if n <= 1 << 16 else row, kind="stable")  # by digits, if in 16 bits
+    row = row.take(order)
+    begin = np.flatnonzero(np.diff(row, prepend=-1))
+    return order, row[begin], begin
 
 
-def _rows(m: dict[str, np.ndarray], past: dict[str, np.ndarray], name: str, row: np.ndarray, d: np.ndarray) -> None:
+def _rows(m: dict[str, np.ndarray], past: dict[str, np.ndarray], name: str, row: np.ndarray, begin: np.ndarray, d: np.ndarray) -> None:
     """Adagrad on the rows of a table that a step has touched."""
-    order = np.argsort(row, kind="stable")
-    row = row[order]
-    first = np.flatnonzero(np.diff(row, prepend=-1))
-    row, d = row[first], np.add.reduceat(d[order], first)
-    past[name][row] += d * d
-    m[name][row] -= np.float32(RATE) * d / np.sqrt(past[name][row])
+    if not len(row):
+        return
+    d = _sums(d, begin)
+    p = past[name].take(row, axis=0)
+    p += d * d
+    past[name][row] = p
+    m[name][row] -= np.float32(RATE) * d / np.sqrt(p)
 
 
 def window_places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,10 +1,9 @@
 """Language-model scoring: exact word statistics, and a causal self-attention model on subword ids.
 
 1. One pass over the training documents: exact counts of all words (packed, by range of hashes), exact counts
-   of all subword ids, and every ``TRAIN_EVERY``-th context window of every document, chosen by a hash of its
-   id, to learn from. All three grow with the corpus.
-2. The model (``attention``): the tree of ids and its odds come from the exact counts; tasks learn from the
-   windows they hold, each from the same start, and their parameters are averaged, for ``ROUNDS`` rounds.
+   of all subword ids, and the ids themselves, to learn from. All three grow with the corpus.
+2. The model (``attention``): the tree of ids and its odds come from the exact counts; tasks learn from every
+   window of the ids they hold, each from the same start, and their parameters are averaged, for ``ROUNDS`` rounds.
 3. One pass over all documents: overlapping windows score every id once. For the word statistics a batch sends
    each distinct word once to the range that counted it, and gets its count back; documents are then summed.
 
@@ -32,7 +31,8 @@ from .words import SPACES, bounds, hashes, pieces, utf8
 
 #: Documents whose crc32(doc_id) leaves this remainder are held out.
 FOLDS, HELD_OUT = 7, 2
-TRAIN_EVERY = 8
+#: Of so many windows of a document one is learned from, and one at least of each document.
+TRAIN_EVERY = 1
 ROUNDS = 2
 #: Parameters are averaged in so many parts.
 PARTS = 32
@@ -123,17 +123,22 @@ def _gather(batches: Iterator[pa.RecordBatch], bits: int, path: str, every: int)
         ids, at = b.sequences(end)
         units += np.bincount(ids, minlength=end + 1)
         text, k = attention.window_places(at)
-        chance = np.array([zlib.crc32(str(d).encode()) // FOLDS for d in batch["doc_id"].to_pylist()])
-        pick = (k + chance[text]) % every == 0
-        x, y, scored = attention.fill_windows(ids, at, end, text[pick], k[pick])
-        stored = np.column_stack([x, y[:, -1:]])
-        rows.append((_WINDOWS, 0, pickle.dumps((stored.astype("<u4" if end > 0xFFFF else "<u2"), np.packbits(scored, axis=1)))))
+        pick = _picked(batch["doc_id"].to_pylist(), text, k, every)
+        rows.append((_WINDOWS, 0, pickle.dumps((ids.astype("<u4" if end > 0xFFFF else "<u2"), at, np.packbits(pick)))))
         yield _fact_batch(rows)
     seen = np.flatnonzero(units)
     if len(seen):
         yield _fact_batch([(_UNITS, 0, pickle.dumps((seen, units[seen])))])
 
 
+def _picked(doc_ids: list, text: np.ndarray, k: np.ndarray, every: int) -> np.ndarray:
+    """Which windows ``k`` of the texts are learned from: one of ``every``, and one at least of each text."""
+    if every == 1:
+        return np.ones(len(k), bool)
+    chance = np.array([zlib.crc32(str(d).encode()) // FOLDS for d in doc_ids], np.int64)
+    return (k + chance[text]) % np.minimum(np.bincount(text, minlength=len(doc_ids)), every)[text] == 0
+
+
 def _fact_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "r", "data"])
 
@@ -178,20 +183,22 @@ def fit(facts: DataFrame, end: int, rounds: int = ROUNDS) -> tuple[dict[str, np.
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, own_tree = sent.value
-            own = attention.unflat(values, end + 1)
+            learned = attention.unflat(values, end + 1)
 
             def blocks():
                 for b in batches:
                     for d in b["data"]:
-                        stored, scored = pickle.loads(d.as_py())
-                        stored = stored.astype(np.int64)
-                        mask = np.unpackbits(scored, axis=1, count=attention.CONTEXT).astype(bool)
-                        half = np.arange(len(stored)) % rounds == k
-                        yield stored[half, :-1], stored[half, 1:], mask[half]
-
-            n = attention.train(own, own_tree, blocks())
+                        ids, at, pick = pickle.loads(d.as_py())
+                        ids = ids.astype(np.int64)
+                        text, place = attention.window_places(at)
+                        own = np.flatnonzero(np.unpackbits(pick, count=len(text)))[k::rounds]
+                        for i in range(0, len(own), attention.LEARN):
+                            some = own[i : i + attention.LEARN]
+                            yield attention.fill_windows(ids, at, end, text[some], place[some])
+
+            n = attention.train(learned, own_tree, blocks())
             if n:
-                for p, part in enumerate(np.array_split(attention.flat(own), PARTS)):
+                for p, part in enumerate(np.array_split(attention.flat(learned), PARTS)):
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([n], pa.int64()), pa.array([part.astype("<f4").tobytes()], pa.binary())], names=["part", "n", "data"])
 
         def average(table: pa.Table) -> pa.Table:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tablepulse.llm import attention, jaccard, packing, sharding, warc
+from tablepulse.llm import attention, jaccard, lm, packing, sharding, warc
 from tablepulse.llm.bpe import default_path, encoder
 from tablepulse.llm.chat import preference_pairs
 from tablepulse.llm.decontaminate import find_contamination, hit_words, matched_items
@@ -316,6 +316,15 @@ def test_model_learns(spark):
     assert got[0] / got[1] > math.log10(1 / 3)  # better than words at random
 
 
+def test_every_window_is_learned_from(spark):
+    docs = spark.createDataFrame([(i, text(i, 5)) for i in range(60)], "doc_id long, text string").coalesce(1)  # a window each
+    got = [{r["doc_id"]: r["score"] for r in score_documents(docs, **own).collect()} for own in ({}, {"train_every": 1}, {"train_every": 8})]
+    assert got[0] == got[1] == got[2]
+    places, k = attention.window_places(np.array([0, 10, 100, 900]))
+    assert lm._picked([1, 2, None], places, k, 1).all()
+    assert np.bincount(places[lm._picked([1, 2, None], places, k, 8)]).min() >= 1
+
+
 # 8
 
 
