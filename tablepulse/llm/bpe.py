@@ -1,8 +1,8 @@
 """Token ids of whole texts by a byte-level BPE file of the ``tokenizers`` library.
 
 The ids are the library's. They are worked out by tiktoken's engine, several times faster, on the vocabulary
-of the same file (its ids are the ranks of its merges); texts that hold the string of a special token go to
-the library itself.
+of the same file (its ids are the ranks of its merges); texts that hold the string of a special token, or a run
+of white space that is too long for that engine, go to the library itself.
 """
 
 from __future__ import annotations
@@ -48,7 +48,14 @@ class Encoder:
             return np.zeros(0, np.uint32)
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.engine.encode_to_numpy(text, disallowed_special=())
+        return self.plain(text)
+
+    def plain(self, text: str) -> np.ndarray:
+        """Ids of a text that holds no special token."""
+        try:
+            return self.engine.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # its pattern backtracks, which a run of a million blanks is too much for
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=2)

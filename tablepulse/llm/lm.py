@@ -86,10 +86,13 @@ def _encode(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     held = 0
     for i in range(0, len(words), 8192):
         part = [w.decode("utf-8", "replace") for w in words[i : i + 8192]]
-        got = engine.encode_to_numpy(" " + " ".join(part), disallowed_special=()).astype(np.int64)
-        begins = np.flatnonzero(spaced[got])
+        try:
+            got = engine.encode_to_numpy(" " + " ".join(part), disallowed_special=()).astype(np.int64)
+            begins = np.flatnonzero(spaced[got])
+        except ValueError:  # too long a run of such white space as the next line tells of
+            begins = ()
         if len(begins) != len(part):  # words with white space of other scripts in them
-            each = [engine.encode_to_numpy(" " + w, disallowed_special=()).astype(np.int64) for w in part]
+            each = [encoder(path).plain(" " + w).astype(np.int64) for w in part]
             got, begins = np.concatenate(each), np.cumsum([0, *map(len, each)])[:-1]
         ids.append(got)
         at.append(np.append(begins[1:], len(got)) + held)

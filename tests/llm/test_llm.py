@@ -194,6 +194,16 @@ def test_ids_are_the_library_s(t):
     assert e.ids(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000"])
+def test_ids_of_long_white_space(blank):
+    e = encoder(default_path())
+    t = "a" + blank * 2_000_000 + "x"
+    assert e.ids(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    if blank == "\u3000":  # no separator of words
+        ids, at = lm._encode([b"a", t.encode()], default_path())
+        assert ids[at[1] :].tolist() == e.tokenizer.encode(" " + t, add_special_tokens=False).ids
+
+
 def check_packing(rows, pieces, limits):
     e = encoder(default_path())
     want = collections.Counter((i, tuple(e.tokenizer.encode(t or "", add_special_tokens=False).ids + [0])) for i, t in rows)
