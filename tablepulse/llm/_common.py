@@ -33,14 +33,16 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests on one machine), a temporary folder is set as the checkpoint
-    folder of this application and used from then on.
+    Where the session has none, a temporary folder is set as the checkpoint folder of this application and
+    used from then on, but only on one machine (a local master): machines of a cluster would each have its own.
     """
     got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tablepulse-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
@@ -66,6 +68,25 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Keys of more than one in so many rows are joined by broadcast; there can be no more of them than this.
+HOT_KEYS = 4096
+
+
+def join_spread(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """Joins ``rows`` with ``table``, which has one row per key and in ``weight`` how many of the ``total`` rows
+    have that key. ``how``: inner (without ``weight``) or left_anti.
+
+    Keys of more than a 4096th of all rows, of which there are fewer than 4096, are broadcast, so their rows stay
+    where they are; all other keys are exchanged, and none of them holds many rows.
+    """
+    bound = F.lit(max(1, total // HOT_KEYS))
+    small = F.broadcast(table.where(F.col(weight) > bound))
+    rest = table.where(F.col(weight) <= bound).drop(weight)
+    if how == "left_anti":
+        return rows.join(small.select(*on), on, how).join(rest.select(*on), on, how)
+    return rows.join(small.drop(weight), on).unionByName(rows.join(small.select(*on), on, "left_anti").join(rest, on))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less its columns of these names (in any case): an operator's own columns replace them."""
     taken = {n.lower() for n in names}

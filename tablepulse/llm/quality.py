@@ -95,11 +95,25 @@ def _hash(words: Column, i: Column) -> Column:
     return F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW)))
 
 
+def _equals(words: Column, keys: Column, alike, place) -> Column:
+    """Of windows sorted by hash: those with the same words as another one. Where a neighbour has the same hash
+    but other words (a collision), all of that hash are compared."""
+    same = lambda x, y: _same(words, place(x), place(y))
+
+    def hit(x: Column, k: Column) -> Column:
+        after, before = F.get(keys, k + 1), F.get(keys, k - 1)
+        near = (after.isNotNull() & alike(x, after)) | (before.isNotNull() & alike(x, before))
+        beside = (after.isNotNull() & alike(x, after) & same(x, after)) | (before.isNotNull() & alike(x, before) & same(x, before))
+        return near & (beside | F.exists(keys, lambda y: alike(x, y) & (place(x) != place(y)) & same(x, y)))
+
+    return F.filter(keys, hit)
+
+
 def _repeated(words: Column) -> Column:
     """Words in windows that are found twice or more.
 
     Window hashes share a 64-bit number with their positions, so one sort of plain numbers brings equal
-    windows together; neighbours of equal hash are then compared word by word. Texts too long for that
+    windows together; windows of equal hash are then compared word by word. Texts too long for that
     sort pairs of a full hash and a position.
     """
 
@@ -107,9 +121,8 @@ def _repeated(words: Column) -> Column:
         keys = F.sort_array(F.transform(_window_starts(w, F.size(w)), lambda i: _hash(w, i).bitwiseAND(F.lit(~_POSITION)).bitwiseOR(i.cast("long"))))
 
         def found(s: Column) -> Column:
-            near = lambda x, y: y.isNotNull() & (F.shiftright(x.bitwiseXOR(y), 20) == 0) & _same(w, place(x), place(y))
             place = lambda x: x.bitwiseAND(F.lit(_POSITION)).cast("int")
-            hits = F.filter(s, lambda x, k: near(x, F.get(s, k + 1)) | near(x, F.get(s, k - 1)))
+            hits = _equals(w, s, lambda x, y: F.shiftright(x.bitwiseXOR(y), 20) == 0, place)
             return _covered(F.sort_array(F.transform(hits, place)))
 
         return _let(keys, found)
@@ -118,8 +131,7 @@ def _repeated(words: Column) -> Column:
         keys = F.sort_array(F.transform(_window_starts(w, F.size(w)), lambda i: F.struct(_hash(w, i).alias("h"), i.alias("i"))))
 
         def found(s: Column) -> Column:
-            near = lambda x, y: y.isNotNull() & (x["h"] == y["h"]) & _same(w, x["i"], y["i"])
-            hits = F.filter(s, lambda x, k: near(x, F.get(s, k + 1)) | near(x, F.get(s, k - 1)))
+            hits = _equals(w, s, lambda x, y: x["h"] == y["h"], lambda x: x["i"])
             return _covered(F.sort_array(F.transform(hits, lambda x: x["i"])))
 
         return _let(keys, found)

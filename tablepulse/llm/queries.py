@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
-from .chat import preference_pairs
+from .chat import format_pairs, swapped_replies
 from .decontaminate import find_contamination, hit_words, matched_items
 from .jaccard import similarity_classes
 from .lm import score_documents
@@ -49,8 +49,13 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+#: Context limits and quantiles that op4 answers beside the lengths that occur.
+CONTEXT_LIMITS = tuple(1 << k for k in range(5, 21))
+SHARES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents").select("text"))
+    return token_counts(table(spark, sf_dir, "documents").select("text"), limits=CONTEXT_LIMITS, shares=SHARES)
 
 
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,11 +92,10 @@ def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) are pair k."""
-    turns = table(spark, sf_dir, "conversations").select(F.expr("floor(conv_id / 2)").alias("pair_id"), (F.expr("pmod(conv_id, 2)") == 0).alias("chosen"), "turn", "role", "text")
+    """Each conversation is chosen; rejected is the same with the neighbour's last reply in place of its own."""
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string"))), " ")
-    out = preference_pairs(turns)
-    return out.select(F.col("pair_id").cast("long").alias("pair_id"), F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen", "rejected", spans(F.col("chosen_spans")).alias("chosen_spans"), spans(F.col("rejected_spans")).alias("rejected_spans"))
+    out = format_pairs(swapped_replies(table(spark, sf_dir, "conversations")))
+    return out.select("pair_id", F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen", "rejected", spans(F.col("chosen_spans")).alias("chosen_spans"), spans(F.col("rejected_spans")).alias("rejected_spans"))
 
 
 _OP2_SQL = """
@@ -105,11 +109,13 @@ select page_id, host, path, best.rule as rule, coalesce(best.action, 'allow') as
 """
 
 _OP10_SQL = """
-with turns as (select floor(conv_id / 2)::bigint as pair_id, conv_id % 2 = 0 as chosen,
+with turns as (select conv_id, case when conv_id is null then row_number() over () else 0 end as own,
     struct_pack(turn := turn, role := coalesce(role, ''), text := coalesce(text, '')) as t from conversations),
-sides as (select pair_id, coalesce(list(t order by t) filter (chosen), []) as c, coalesce(list(t order by t) filter (not chosen), []) as r from turns group by pair_id),
-said as (select pair_id, list_transform(c, lambda t: struct_pack(role := t.role, text := t.text)) as c, list_transform(r, lambda t: struct_pack(role := t.role, text := t.text)) as r from sides),
-cut as (select *, (select count(*) from (select unnest(range(1, least(len(c), len(r)) + 1)) as i) where c[1:i] = r[1:i]) as n from said),
+ordered as (select conv_id, list_transform(ts, lambda x: struct_pack(role := x.role, text := x.text)) as c from (select conv_id, own, list(t order by t) as ts from turns group by conv_id, own)),
+replies as (select *, list_max(list_filter(range(1, len(c) + 1), lambda i: c[i].role = 'assistant')) as at from ordered),
+sides as (select m.conv_id as pair_id, m.c, case when m.at is null then m.c else m.c[1:m.at - 1] end || case when o.at is null then [] else [o.c[o.at]] end as r
+  from replies m left join replies o on o.conv_id = case when m.conv_id % 2 = 0 then m.conv_id + 1 else m.conv_id - 1 end),
+cut as (select *, (select count(*) from (select unnest(range(1, least(len(c), len(r)) + 1)) as i) where c[1:i] = r[1:i]) as n from sides),
 rest as (select *, list_transform(c, lambda t: concat('<|im_start|>', t.role, chr(10), t.text, '<|im_end|>', chr(10))) as cs,
   list_transform(r, lambda t: concat('<|im_start|>', t.role, chr(10), t.text, '<|im_end|>', chr(10))) as rs from cut),
 spans as (select *, list_transform(range(n + 1, len(c) + 1), lambda i: struct_pack(b := length(array_to_string(cs[n + 1:i - 1], '')), t := c[i])) as cb,

@@ -11,15 +11,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._common import cut
 from .bpe import default_path, encoder
 from .words import pieces
 
 #: Lengths in a block: sums over blocks and inside of blocks keep windows small.
-BLOCK = 1024
+BLOCK = 128
 
 
 def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -38,7 +39,10 @@ def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str | None
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
     """The histogram with docs_ge and tokens_ge (of this length and more), truncated_total (tokens left when
-    all texts are cut to this length), docs_le and the totals; an empty histogram gives an empty result."""
+    all texts are cut to this length), docs_le and the totals; an empty histogram gives an empty result.
+
+    ``histogram`` is read twice: once by blocks of lengths, once inside of them.
+    """
     rows = histogram.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     # one row per block of lengths: few even of very long texts
@@ -65,21 +69,38 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     )
 
 
-def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """(context_limit, truncated_total) for any limits, also such that no text has as its length."""
-    spark = sums.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    kept = F.least(F.col("n_tokens"), F.col("context_limit")) * F.col("n_docs")
-    return sums.join(F.broadcast(asked)).groupBy("context_limit").agg(F.sum(kept).alias("truncated_total"))
+def with_limits(histogram: DataFrame, limits) -> DataFrame:
+    """The histogram with a row for each limit, of no documents where no text has that length: its suffix sums
+    then hold the answer for every limit in a row of its own."""
+    asked = histogram.sparkSession.createDataFrame([(int(x), 0) for x in limits], "n_tokens long, n_docs long")
+    return histogram.unionByName(asked).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+
+
+def _answered(shares: list[float]) -> Column:
+    """Of a row of suffix sums: the shares whose rank lies among the documents of this length, so it is the least
+    length that at least this share of all documents does not exceed."""
+
+    def own(share: Column) -> Column:
+        rank = F.greatest(F.lit(1), F.ceil(share * F.col("total_docs")))
+        return (rank <= F.col("docs_le")) & (rank > F.col("docs_le") - F.col("n_docs"))
 
+    return F.filter(F.array(*map(F.lit, shares)), own)
 
-def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
-    """(share, n_tokens): the least length that at least this share of all documents does not exceed."""
-    asked = sums.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    return sums.join(F.broadcast(asked), F.col("docs_le") >= F.col("share") * F.col("total_docs")).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
 
+def token_counts(docs: DataFrame, text: str = "text", tokenizer: str | None = None, limits=(), shares=()) -> DataFrame:
+    """``suffix_sums`` of the exact histogram of encoded lengths, in rows of three kinds.
 
-def token_counts(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``suffix_sums`` of ``length_histogram``: one row per encoded length that occurs. All columns of
-    ``docs`` but ``text`` are ignored; repeated rows count as often as they occur; no rows, no lengths."""
-    return suffix_sums(length_histogram(docs, text, tokenizer))
+    kind ``length``: each length that occurs; ``limit``: each of ``limits`` (n_docs may be 0); ``quantile``: the
+    length of each of ``shares`` (null for the other kinds). Texts are encoded once: the histogram is written to
+    the shared folder. All columns of ``docs`` but ``text`` are ignored; null and empty texts have length 0;
+    repeated rows count as often as they occur; without rows there are the limits only, and all sums are 0.
+    """
+    histogram = cut(length_histogram(docs, text, tokenizer), "lengths")
+    limits, shares = sorted({int(x) for x in limits}), sorted({float(x) for x in shares})
+    sums = suffix_sums(with_limits(histogram, limits) if limits else histogram)
+    kinds = F.array_compact(F.array(F.when(F.col("n_docs") > 0, F.lit("length")), F.when(F.col("n_tokens").isin(limits), F.lit("limit")) if limits else F.lit(None).cast("string")))
+    row = lambda kind, share: F.struct(kind.alias("kind"), share.cast("double").alias("share"))
+    rows = F.transform(kinds, lambda k: row(k, F.lit(None)))
+    if shares:
+        rows = F.concat(rows, F.transform(_answered(shares), lambda q: row(F.lit("quantile"), q)))
+    return sums.withColumn("own", F.explode(rows)).select("own.*", *sums.columns)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import without
+from ._common import HOT_KEYS, cut, without
 
 #: Rows of a rule table that may be broadcast: some 100 bytes each.
 BROADCAST_RULES = 100_000
@@ -91,12 +91,20 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
     A null URL, or one without ``://``, has an empty host and path, and gets ``default``. Repeated rows are
     judged alike; an empty table of pages or of rules is no error. Input columns named like a result's are
-    replaced. Rows without a URL get keys of their own in the join, so they meet in no task.
+    replaced. Rows without a URL, or with a very frequent one, get keys of their own in the join: they meet in no task.
+    Distinct URLs and how often each occurs are written to the shared folder.
     """
     base = without(pages.withColumn("__url", F.col(url)), *(c for c in ("host", "path", "rule", "verdict") if c != url))
-    won = judge(base.select(F.col("__url").alias("url")), rules, broadcast_rules).select(F.col("url").alias("__key"), "rule", F.col("action").alias("__action"))
+    counted = cut(base.where("__url is not null").groupBy(F.col("__url").alias("url")).agg(F.count("*").alias("n")), "urls")
+    won = judge(counted.select("url"), rules, broadcast_rules)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    # a URL of more than one in HOT_KEYS rows is told apart by broadcast, and its rows meet in no task
+    hot = counted.where(F.col("n") * HOT_KEYS > total).select("url")
+    often = F.broadcast(hot.join(won, "url", "left").select(F.col("url").alias("__url"), F.struct("rule", F.col("action")).alias("__often")))
+    base = base.join(often, "__url", "left")
     spread = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
-    base = base.withColumn("__key", F.coalesce(F.col("__url"), spread))
-    out = base.join(won, "__key", "left")
+    base = base.withColumn("__key", F.when(F.col("__often").isNull(), F.col("__url"))).withColumn("__key", F.coalesce("__key", spread))
+    out = base.join(won.select(F.col("url").alias("__key"), F.struct("rule", "action").alias("__won")), "__key", "left")
+    out = out.withColumn("__won", F.coalesce("__often", "__won")).withColumn("rule", F.col("__won.rule"))
     out = out.withColumn("host", F.coalesce(host_of(F.col("__url")), F.lit(""))).withColumn("path", F.coalesce(path_of(F.col("__url")), F.lit("")))
-    return out.withColumn("verdict", F.coalesce("__action", F.lit(default))).drop("__key", "__url", "__action")
+    return out.withColumn("verdict", F.coalesce("__won.action", F.lit(default))).drop("__key", "__url", "__won", "__often")

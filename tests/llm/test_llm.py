@@ -9,17 +9,19 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablepulse.llm import attention, jaccard, lm, packing, sharding, warc
+from tablepulse.llm import quality as quality_module
 from tablepulse.llm.bpe import default_path, encoder
-from tablepulse.llm.chat import preference_pairs
+from tablepulse.llm.chat import format_pairs, preference_pairs, swapped_replies
 from tablepulse.llm.decontaminate import find_contamination, hit_words, matched_items
 from tablepulse.llm.graph import components
 from tablepulse.llm.lm import score_documents
 from tablepulse.llm.packed import pack48, unpack48
 from tablepulse.llm.quality import quality
-from tablepulse.llm.token_counts import quantiles, token_counts, truncated_totals
+from tablepulse.llm.token_counts import token_counts
 from tablepulse.llm.url_filters import url_filter
 from tablepulse.llm.words import SPACES, word_hashes
 
@@ -88,6 +90,37 @@ def test_shards_are_gapless_and_even(spark, docs, empty):
     assert len(sums) == 8 and max(sums.values()) - min(sums.values()) <= 0.02 * sum(sums.values()) / 8
 
 
+def check_shards(rows, shards, slack):
+    sums, slots = collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        sums[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(sums) == shards and max(sums.values()) - min(sums.values()) <= slack
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_a_hot_text_inside_of_a_shard_is_split(spark):
+    rows = spark.range(8000).selectExpr("id as doc_id", "case when id % 40 = 0 then repeat('same text', 5) else concat('t', id, repeat('x', cast(id % 50 as int))) end as text")
+    high, low = F.xxhash64("text"), F.col("doc_id")
+    keys = rows.select(high.alias("high"), low.alias("low"), sharding.size_of(F.col("text")).alias("size"))
+    _, known = sharding.find_splitters(keys, 8, 0.002, 4096)
+    assert max(b - a for (_, a, _), (_, b, _) in zip(known, known[1:])) <= 4096
+    out = sharding.shard(rows, 8, task_bytes=4096)
+    check_shards(out.collect(), 8, 200)
+    sizes = out.groupBy(F.spark_partition_id()).agg(F.sum("size")).collect()
+    assert max(r[1] for r in sizes) <= 2 * 4096
+
+
+@pytest.mark.parametrize("doc_id", ["cast(null as long)", "7", "id % 2"])
+def test_rows_of_one_key_are_split(spark, doc_id):
+    rows = spark.range(3000).selectExpr(f"case when id % 2 = 0 then {doc_id} else id end as doc_id", "case when id % 2 = 0 then repeat('same text', 5) else concat('t', id) end as text").repartition(5)
+    out = sharding.shard(rows, 8, task_bytes=2048).collect()
+    assert len(out) == 3000
+    check_shards(out, 8, 200)
+    one = spark.range(100).selectExpr("1 as doc_id", "'x' as text")
+    check_shards(sharding.shard(one, 8).collect(), 8, 4)
+
+
 def test_bucket_of_128_bit_keys():
     rng = np.random.default_rng(3)
     high, low = rng.integers(-2, 3, 500), rng.integers(-5, 5, 500)
@@ -177,14 +210,17 @@ def test_prefix_choice_is_within_bounds():
 def test_token_counts(spark, docs, empty):
     e = encoder(default_path())
     lengths = np.array([len(e.tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t in DOCS])
-    sums = token_counts(docs).persist()
-    got = {r["n_tokens"]: r for r in sums.collect()}
+    limits, shares = [0, 3, 10**6], [0.5, 1.0]
+    rows = token_counts(docs, limits=limits, shares=shares).collect()
+    got = {r["n_tokens"]: r for r in rows if r["kind"] == "length"}
     assert set(got) == set(lengths.tolist())
     for n, r in got.items():
         assert (r["n_docs"], r["docs_ge"], r["tokens_ge"], r["truncated_total"]) == ((lengths == n).sum(), (lengths >= n).sum(), lengths[lengths >= n].sum(), np.minimum(lengths, n).sum())
-    assert {r[0]: r[1] for r in truncated_totals(sums, [0, 3, 10**6]).collect()} == {x: int(np.minimum(lengths, x).sum()) for x in (0, 3, 10**6)}
+    assert {r["n_tokens"]: (r["truncated_total"], r["docs_ge"]) for r in rows if r["kind"] == "limit"} == {x: (np.minimum(lengths, x).sum(), (lengths >= x).sum()) for x in limits}
     ordered = np.sort(lengths)
-    assert {r[0]: r[1] for r in quantiles(sums, [0.5, 1.0]).collect()} == {q: ordered[math.ceil(q * len(ordered)) - 1] for q in (0.5, 1.0)}
+    assert {r["share"]: r["n_tokens"] for r in rows if r["kind"] == "quantile"} == {q: ordered[math.ceil(q * len(ordered)) - 1] for q in shares}
+    assert token_counts(docs).where("kind <> 'length'").count() == 0
+    assert [(r["n_tokens"], r["truncated_total"]) for r in token_counts(empty, limits=[7], shares=[0.5]).collect()] == [(7, 0)]
     assert token_counts(empty).count() == 0
 
 
@@ -239,6 +275,12 @@ def test_packing_is_tight():
 # 6
 
 
+def test_colliding_windows_are_told_apart(spark):
+    w, keys = F.split(F.lit("a b c d e a b c d f a b c d e"), " "), F.array(*(F.struct(F.lit(1).alias("h"), F.lit(i).alias("i")) for i in (0, 5, 10)))
+    hits = quality_module._equals(w, keys, lambda x, y: x["h"] == y["h"], lambda x: x["i"])
+    assert [r["i"] for r in spark.range(1).select(hits.alias("x")).first()["x"]] == [0, 10]
+
+
 def test_quality(docs, empty):
     got = sorted((tuple(r[c] for c in ("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) for r in quality(docs).collect()), key=str)
 
@@ -401,11 +443,13 @@ def test_preference_pairs(spark):
     a = [("user", "hi"), ("assistant", "yes"), ("user", "more"), ("assistant", "A")]
     b = [("user", "hi"), ("assistant", "yes"), ("user", "more"), ("assistant", "B!"), ("user", None)]
     rows = [(1, True, k, r, t, 0) for k, (r, t) in enumerate(a)] + [(1, False, k, r, t, 0) for k, (r, t) in enumerate(b)]
-    rows += [(2, True, 0, "user", "only", 0), (3, True, 0, "user", "same", 0), (3, False, 0, "user", "same", 0), (None, True, None, None, None, 0), (4, None, 0, "user", "lost", 0), (5, True, 0, "a", "x", 0), (5, True, 0, "a", "x", 0), (5, False, 0, "b", "x", 0)]
+    rows += [(2, True, 0, "user", "only", 0), (3, True, 0, "user", "same", 0), (3, False, 0, "user", "same", 0), (None, True, None, None, None, 0), (None, False, 1, "assistant", "no pair", 0), (4, None, 0, "user", "lost", 0), (5, True, 0, "a", "x", 0), (5, True, 0, "a", "x", 0), (5, False, 0, "b", "x", 0)]
     frame = spark.createDataFrame(rows, "pair_id long, chosen boolean, turn long, role string, text string, prompt int")
-    got = {r["pair_id"]: r for r in preference_pairs(frame).collect()}
-    assert set(got) == {1, 2, 3, 5, None}
     render = lambda turns: "".join(f"<|im_start|>{r}\n{t or ''}<|im_end|>\n" for r, t in turns)
+    found = preference_pairs(frame).collect()
+    got = {r["pair_id"]: r for r in found}
+    assert len(found) == 6 and {(r["chosen"], r["rejected"]) for r in found if r["pair_id"] is None} == {(render([("", "")]), None), (None, render([("assistant", "no pair")]))}
+    assert set(got) == {1, 2, 3, 5, None}
     one = got[1]
     assert (one["n_common"], one["prompt"], one["chosen"], one["rejected"]) == (3, render(a[:3]), render(a[3:]), render(b[3:]))
     assert [one["chosen"][s["begin"] : s["end"]] for s in one["chosen_spans"]] == ["A<|im_end|>"]
@@ -416,6 +460,25 @@ def test_preference_pairs(spark):
     assert preference_pairs(frame.where("false")).count() == 0
 
 
+def test_swapped_replies(spark):
+    said = {
+        4: [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d"), ("user", "e")],
+        5: [("user", "p"), ("assistant", "q")],
+        6: [("user", "no neighbour"), ("assistant", "z")],
+        9: [("user", "no reply")],
+        -3: [("assistant", "x")],
+        -4: [("user", "y")],
+    }
+    rows = [(c, k, r, t) for c, turns in said.items() for k, (r, t) in enumerate(turns)] + [(None, 0, "assistant", "n"), (None, 0, "user", None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3)
+    sides = swapped_replies(frame)
+    got = {r["pair_id"]: ([tuple(t) for t in r["c"]], [tuple(t) for t in r["r"]]) for r in sides.where("pair_id is not null").collect()}
+    assert got == {4: (said[4], said[4][:3] + [("assistant", "q")]), 5: (said[5], [("user", "p"), ("assistant", "d")]), 6: (said[6], said[6][:1]), 9: (said[9], said[9]), -3: (said[-3], []), -4: (said[-4], said[-4] + [("assistant", "x")])}
+    assert sorted(len(r["c"]) for r in sides.where("pair_id is null").collect()) == [1, 1]
+    assert {r["pair_id"]: r["n_common"] for r in format_pairs(sides).where("pair_id is not null").collect()} == {4: 3, 5: 1, 6: 1, 9: 1, -3: 0, -4: 1}
+    assert swapped_replies(frame.where("false")).count() == 0
+
+
 # the pipeline
 
 
