@@ -29,7 +29,7 @@ from ._common import cut, ship, without
 #: Candidates per open splitter and round.
 PROBES = 64
 #: Rows of one task of the exchange hold about so many bytes.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 32 << 20
 #: Candidates of the first round at most: a count of each comes to the driver.
 MOST_PROBES = 1 << 16
 _SIGN = 1 << 63
