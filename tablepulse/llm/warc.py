@@ -1,175 +1,227 @@
 """WARC archives: captures written as request, response (or revisit) and metadata records, and read back.
 
-Writing goes through Spark's text writer, whose commit protocol leaves the files of one attempt of a task
-only; every record ends with two line ends, which is the writer's line separator. Reading parses files by
-the lengths that records state and then assembles transactions: request and metadata records name their
-response in ``WARC-Concurrent-To``, and are joined with it on that.
+Every record is a gzip member of its own. A task hands its members in bundles to Spark's text writer, whose commit
+protocol leaves the files of one attempt of a task only; the line separator is an empty member. Files hold a
+bounded number of bundles, and bundles a bounded number of bytes (or one record). Reading inflates a file bit by
+bit, parses records by the lengths that they state, and assembles transactions: request and metadata records name
+their capture in ``WARC-Concurrent-To``, and are joined with it on that, in one exchange.
+
+Record ids are ``<urn:page:ID:...>``: they name the page, so a revisit's ``WARC-Refers-To`` tells which page it
+stands for.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import new_path, without
+from ._common import HOT_KEYS, cut, new_path, ship
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Payloads under so many bytes are stored again instead of being referred to.
 LEAST_REVISIT = 100
-#: Captures in one archive file at most.
-FILE_CAPTURES = 4096
-RECORDS = "warc_type string, record_id string, concurrent_to string, target_uri string, payload_digest string, payload_length long, content_type string, block binary"
-
-
-def _header(kind: str, *lines: tuple[str, Column]) -> Column:
-    named = [F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)) for name, value in lines]
-    return F.concat(F.lit(f"WARC/1.1{CRLF}WARC-Type: {kind}{CRLF}"), *(F.coalesce(x, F.lit("")) for x in named), F.lit(CRLF))
-
-
-def _urn() -> Column:
-    return F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))
-
-
-def _one_line(value: Column) -> Column:
-    return F.translate(value, "\r\n", "  ")
+#: Compressed bytes of a bundle, about, and bundles in a file at most.
+BUNDLE_BYTES = 4 << 20
+FILE_BUNDLES = 8
+#: Payloads that occur twice or more, which may be broadcast with the first page of each: some 100 bytes a row.
+BROADCAST_FIRST = 100_000
+RECORDS = "warc_type string, record_id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_length long, content_type string, block binary"
+#: A gzip member without content, as the text writer's line separator.
+_EMPTY_MEMBER = zlib.compress(b"", 6, 31)
 
 
 def plan_captures(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """Rows (page_id, url, html) with ``digest``, ``length`` and ``revisit``.
+    """Rows (page_id, url, html) with ``digest``, ``length``, ``refers_to`` and ``first``.
 
     Among rows with equal payloads of ``least`` bytes and more, those with the smallest page_id are
-    responses, the others revisits; null ids come after all others, and are responses where a payload has no other.
-    First ids are aggregated map-side, and only payloads that occur twice are joined.
+    responses (``first``: the only such one); the others have its page_id in ``refers_to``. Null ids come after all
+    others, and are responses where a payload has no other. Which ids are first is aggregated map-side. Payloads that
+    occur once are not joined; where many occur twice, those of more than one in 4096 rows are broadcast, so pages
+    of a frequent payload stay in their tasks.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256)).withColumn("length", F.octet_length("html").cast("long"))
-    first = rows.where(F.col("length") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    return rows.join(first, "digest", "left").withColumn("revisit", F.coalesce(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))).drop("first_id")
-
+    by_page = rows.where(F.col("length") >= least).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    # (is null, page_id): nulls last
+    least_page = F.min(F.struct(F.col("page_id").isNull(), F.col("page_id"), F.col("n"))).alias("least")
+    firsts = cut(by_page.groupBy("digest").agg(least_page, F.sum("n").alias("all")).where("all > 1").select("digest", F.col("least.page_id").alias("id"), (F.col("least.n") == 1).alias("one"), "all"), "firsts")
+    told = F.struct("id", "one")
+    if firsts.count() <= BROADCAST_FIRST:
+        rows = rows.join(F.broadcast(firsts.select("digest", told.alias("told"))), "digest", "left")
+    else:
+        bound = F.lit(max(1, rows.count() // HOT_KEYS))
+        hot, rest = firsts.where(F.col("all") > bound), firsts.where(F.col("all") <= bound)
+        rows = rows.join(F.broadcast(hot.select("digest", told.alias("hot"))), "digest", "left")
+        alone = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+        rows = rows.withColumn("key", F.when(F.col("hot").isNull() & (F.col("length") >= least), F.col("digest")).otherwise(alone))
+        rows = rows.join(rest.select(F.col("digest").alias("key"), told.alias("rest")), "key", "left").withColumn("told", F.coalesce("hot", "rest"))
+    again = F.col("told.id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("told.id"))
+    first = F.coalesce(F.col("told.id").isNotNull() & ~again & F.col("told.one"), F.lit(False))
+    return rows.select("page_id", "url", F.when(~again | F.col("told").isNull(), F.col("html")).alias("html"), "digest", "length", F.when(again, F.col("told.id")).alias("refers_to"), first.alias("first"))
+
+
+def _record(kind: str, record_id: str, uri: str, lines: list[tuple[str, str]], block: bytes) -> bytes:
+    named = [("WARC-Type", kind), ("WARC-Record-ID", record_id), ("WARC-Date", DATE), ("WARC-Target-URI", uri), *lines, ("Content-Length", str(len(block)))]
+    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named) + CRLF
+    return zlib.compress(head.encode() + block + b"\r\n\r\n", 6, 31)
+
+
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task, k, held, bundle = TaskContext.get().partitionId(), 0, 0, []
+
+    def full() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(bundle)], pa.binary())], names=["value"])
 
-def write_warc(captures: DataFrame, path: str, file_captures: int = FILE_CAPTURES) -> None:
+    for batch in batches:
+        columns = (batch[c] for c in ("page_id", "url", "html", "digest", "length", "refers_to", "first"))
+        for page, url, html, digest, length, refers, first in zip(*columns):
+            page, digest, refers, length = page.as_py(), digest.as_py(), refers.as_py(), str(length.as_py())
+            uri = (url.as_py() or "").replace("\r", " ").replace("\n", " ")
+            name = "" if page is None else str(page)
+            own = f"{task:x}-{k:x}"
+            capture = f"<urn:page:{name}:{digest[:32]}{'' if first.as_py() else ':' + own}>"
+            http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {length}\r\n\r\n".encode()
+            both = [("WARC-Payload-Digest", "sha256:" + digest), ("X-Payload-Length", length), ("Content-Type", "application/http; msgtype=response")]
+            if refers is None:
+                main = _record("response", capture, uri, both, http + html.as_buffer().to_pybytes())
+            else:
+                again = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers}:{digest[:32]}>")]
+                main = _record("revisit", capture, uri, both + again, http)
+            to = ("WARC-Concurrent-To", capture)
+            request = _record("request", f"<urn:request:{name}:{own}>", uri, [to, ("Content-Type", "application/http; msgtype=request")], f"GET / HTTP/1.1\r\nX-Target: {uri}\r\n\r\n".encode())
+            told = b"" if page is None else f"page-id: {page}\r\n".encode()
+            metadata = _record("metadata", f"<urn:metadata:{name}:{own}>", uri, [to, ("Content-Type", "application/warc-fields")], told)
+            bundle += (main, request, metadata)
+            held += len(main) + len(request) + len(metadata)
+            k += 1
+            if held >= BUNDLE_BYTES:
+                yield full()
+                held, bundle = 0, []
+    if bundle:
+        yield full()
+
+
+def write_warc(captures: DataFrame, path: str, file_bundles: int = FILE_BUNDLES) -> None:
     """Writes three records for each row of ``plan_captures`` as gzipped WARC 1.1 files under ``path``."""
-    ids = captures.select("*", _urn().alias("rid"), _urn().alias("qid"), _urn().alias("mid"))
-    uri = _one_line(F.coalesce("url", F.lit("")))
-    size = lambda c: F.octet_length(c).cast("string")
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=UTF-8{CRLF}Content-Length: "), F.col("length").cast("string"), F.lit(CRLF * 2))
-    digest = (("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), ("X-Payload-Length", F.col("length").cast("string")))
-    both = (("WARC-Record-ID", F.col("rid")), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", uri), *digest, ("Content-Type", F.lit("application/http; msgtype=response")))
-    full = F.concat(http, F.col("html"))
-    response = F.concat(_header("response", *both, ("Content-Length", size(full))), full)
-    again = (("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("Content-Length", size(http)))
-    revisit = F.concat(_header("revisit", *both, *again), http)
-    ask = F.concat(F.lit(f"GET / HTTP/1.1{CRLF}X-Target: "), uri, F.lit(CRLF * 2))
-    to = ("WARC-Concurrent-To", F.col("rid"))
-    request = F.concat(_header("request", ("WARC-Record-ID", F.col("qid")), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", uri), to, ("Content-Type", F.lit("application/http; msgtype=request")), ("Content-Length", size(ask))), ask)
-    told = F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.lit(""))
-    metadata = F.concat(_header("metadata", ("WARC-Record-ID", F.col("mid")), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", uri), to, ("Content-Type", F.lit("application/warc-fields")), ("Content-Length", size(told))), told)
-    records = ids.select(F.explode(F.array(F.when(F.col("revisit"), revisit).otherwise(response), request, metadata)).alias("value"))
-    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * file_captures).text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an uncompressed archive."""
+    rows = captures.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "digest", "length", F.col("refers_to").cast("long").alias("refers_to"), "first")
+    members = rows.mapInArrow(_write, "value binary").select(F.col("value").cast("string"))
+    # the encoding is that of the separator alone: values are written byte by byte
+    separator = _EMPTY_MEMBER.decode("latin-1")
+    members.write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", file_bundles).text(path)
+
+
+def inflate(data: memoryview, step: int = 1 << 14) -> Iterator[bytes]:
+    """The content of an archive, in parts: of all members of a gzip file, or as it is."""
+    if bytes(data[:2]) != b"\x1f\x8b":
+        yield from (bytes(data[i : i + (1 << 20)]) for i in range(0, len(data), 1 << 20))
+        return
     at = 0
     while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
-            continue
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        at = end + 4
-        n = int(headers["content-length"])
-        if at + n > len(data):
-            raise ValueError("the archive ends inside a record")
-        yield headers, data[at : at + n]
-        at += n
-
-
-def gunzip(data: bytes) -> bytes:
-    """All members of a gzip file."""
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        if not d.eof:
-            raise ValueError("the archive is cut short")
-        data = d.unused_data
-    return b"".join(out)
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("the archive is cut short")
+            part = data[at : at + step]
+            yield member.decompress(part)
+            at += len(part) - len(member.unused_data)
+
+
+def parse(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of an uncompressed archive that comes in parts."""
+    held, headers, begin, length = bytearray(), None, 0, 0
+    for part in parts:
+        held += part
+        at = 0
+        while True:
+            if headers is None:
+                while held[at : at + 2] == b"\r\n":
+                    at += 2
+                end = held.find(b"\r\n\r\n", at)
+                if len(held) - at >= 5 and held[at : at + 5] != b"WARC/":
+                    raise ValueError("no WARC record where one should begin")
+                if end < 0:
+                    break
+                lines = held[at:end].decode("utf-8", "replace").split(CRLF)[1:]
+                headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+                begin, length = end + 4, int(headers["content-length"])
+            if len(held) < begin + length:
+                break
+            yield headers, bytes(held[begin : begin + length])
+            at, headers = begin + length, None
+        del held[:at]
+        begin -= at
+    if headers is not None or bytes(held).strip(b"\r\n"):
+        raise ValueError("the archive ends inside a record")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["warc_type", "record_id", "concurrent_to", "target_uri", "payload_digest", "payload_length", "content_type", "block"]
-    types = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.binary()]
+    names = [field.split()[0] for field in RECORDS.split(", ")]
+    types = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.binary()]
     schema = pa.schema(list(zip(names, types)))
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], schema=schema)
     for batch in batches:
         for content in batch["content"]:
-            raw, rows, held = content.as_py(), [], 0
-            for h, block in parse(gunzip(raw) if raw[:2] == b"\x1f\x8b" else raw):
+            rows, held = [], 0
+            for h, block in parse(inflate(memoryview(content.as_buffer()))):
                 length = h.get("x-payload-length")
-                rows.append((h.get("warc-type"), h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-payload-digest"), int(length) if length else None, h.get("content-type"), block))
-                held += len(block)
+                told = (h.get(k) for k in ("warc-type", "warc-record-id", "warc-concurrent-to", "warc-refers-to", "warc-target-uri", "warc-payload-digest"))
+                rows.append((*told, int(length) if length else None, h.get("content-type"), block))
+                held += len(block) + 500
                 if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], schema=schema)
+                    yield batch_of(rows)
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], schema=schema)
+                yield batch_of(rows)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives under ``path``. A file that breaks off inside a record is an error."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(_rows, RECORDS)
+    """One row per record of the archives under ``path``, gzipped or not. A file that breaks off inside a record is
+    an error."""
+    ship(spark)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_rows, RECORDS)
 
 
 def transactions(records: DataFrame) -> DataFrame:
     """One nested row per capture: its response or revisit record, its request and its metadata.
 
-    The three are joined through concurrent-to identifiers. A capture without a request or metadata record
-    has a null struct there; records that no capture claims are left out.
+    The three are joined through concurrent-to identifiers: one exchange brings a capture and the records that name
+    it together. A capture without a request or metadata record has a null struct there, of several the one with the
+    least record id is taken; records that no capture claims, or that name none, are left out.
     """
-    kinds = records.withColumn("body_at", F.instr(F.col("block").cast("string"), CRLF * 2))
-    main = kinds.where("warc_type in ('response', 'revisit')").select(
-        F.col("record_id").alias("capture_id"),
-        F.struct(
-            "warc_type",
-            "target_uri",
-            F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
-            "payload_length",
-            F.expr("case when warc_type = 'response' then substring(block, octet_length(substring_index(cast(block as string), '\r\n\r\n', 1)) + 5) end").alias("payload"),
-        ).alias("response"),
+    kind = F.col("warc_type")
+    main = kind.isin("response", "revisit")
+    payload = F.expr("case when warc_type = 'response' then substring(block, octet_length(substring_index(cast(block as string), '\r\n\r\n', 1)) + 5) end")
+    response = F.struct("warc_type", "target_uri", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "payload_length", "refers_to", payload.alias("payload"))
+    side = F.struct("record_id", "target_uri", F.col("block").cast("string").alias("text"))
+    rows = records.select(
+        F.when(main, F.col("record_id")).when(kind.isin("request", "metadata"), F.col("concurrent_to")).alias("capture_id"),
+        F.when(main, response).alias("response"),
+        F.when(kind == "request", side).alias("request"),
+        F.when(kind == "metadata", side).alias("metadata"),
     )
-    side = lambda kind: kinds.where(F.col("warc_type") == kind).select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "target_uri", F.col("block").cast("string").alias("text")).alias(kind))
-    return main.join(side("request"), "capture_id", "left").join(side("metadata"), "capture_id", "left")
+    joined = rows.where("capture_id is not null").groupBy("capture_id").agg(F.first("response", True).alias("response"), F.min("request").alias("request"), F.min("metadata").alias("metadata"))
+    return joined.where("response is not null")
 
 
-def resolve(captures: DataFrame, records: DataFrame, least: int) -> DataFrame:
-    """Captures as flat rows, revisits with ``refers_to``: the page of the response with the same payload.
-
-    Which response a digest has is told by headers and metadata records alone, so payloads move once.
-    """
+def resolve(captures: DataFrame) -> DataFrame:
+    """Captures as flat rows; ``refers_to`` of revisits: the page that the record they refer to names."""
     number = F.regexp_extract("metadata.text", "(?m)^page-id: (-?[0-9]+)\r?$", 1)
-    page = F.when(number != "", number.cast("long"))
-    heads = records.where("warc_type = 'response'").where(F.col("payload_length") >= least).select(F.col("record_id").alias("id"), F.substring_index("payload_digest", ":", -1).alias("told"))
-    pages = records.where("warc_type = 'metadata'").select(F.col("concurrent_to").alias("id"), F.struct(F.col("block").cast("string").alias("text")).alias("metadata")).select("id", page.alias("page"))
-    first = heads.join(pages, "id").groupBy("told").agg(F.min("page").alias("first"))
-    flat = captures.select(
-        page.alias("page_id"),
+    referred = F.regexp_extract("response.refers_to", "^<urn:page:(-?[0-9]+):", 1)
+    return captures.select(
+        F.when(number != "", number.cast("long")).alias("page_id"),
         F.col("response.warc_type").alias("record_type"),
         F.col("response.target_uri").alias("url"),
         F.coalesce(F.sha2("response.payload", 256), "response.payload_digest").alias("payload_digest"),
         F.coalesce(F.octet_length("response.payload").cast("long"), "response.payload_length").alias("payload_bytes"),
         F.col("response.payload").alias("payload"),
-        F.when(F.col("response.warc_type") == "revisit", F.col("response.payload_digest")).otherwise(F.concat(F.lit("-"), "capture_id")).alias("told"),
+        F.when(referred != "", referred.cast("long")).alias("refers_to"),
     )
-    return flat.join(first, "told", "left").withColumnRenamed("first", "refers_to").drop("told")
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None, least: int = LEAST_REVISIT) -> DataFrame:
@@ -178,11 +230,12 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, least: int = L
     One row per input row: page_id, url, record_type, payload (null for revisits), payload_bytes and
     payload_digest of the full payload, refers_to (page of the response that a revisit stands for). Null html
     is an empty payload, a null url an empty one; line ends in a url become blanks; rows without a page_id
-    stay without. Repeated rows give repeated captures: all rows of the smallest page_id are responses.
-    An empty table gives an empty result. Other columns are ignored.
+    stay without. Repeated rows give repeated captures: all rows of the smallest page_id are responses, and
+    ``WARC-Refers-To`` then is what their ids have in common. An empty table gives an empty result. Other columns are
+    ignored.
     """
     spark = pages.sparkSession
+    ship(spark)
     path = path or new_path(spark, "warc")
     write_warc(plan_captures(pages, least), path)
-    records = read_records(spark, path)
-    return resolve(transactions(records), records, least)
+    return resolve(transactions(read_records(spark, path)))
