@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, remove
+from ._common import cut, join_spread, remove
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -18,17 +18,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round joins each node's neighbours to the least of them: first those above the node, then all; a
     number of rounds in the order of the logarithm of the longest path ends in stars. Minima are aggregated
-    map-side, neighbours are joined and never gathered, and each round's edges are cut off as a table.
+    map-side, neighbours are joined and never gathered (those of a hub stay in the tasks that hold them), and each
+    round's edges are cut off as a table.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w")).select("u", F.least("u", "m").alias("m"), "w")
+        large = join_spread(both.where("v > u"), least, ["u"], "w", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(large, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w"))
+        small = join_spread(large, least, ["u"], "w", mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        remove(large)
         was, mark = mark, _mark(after)
         remove(edges)
         edges = after
