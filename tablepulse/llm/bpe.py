@@ -7,7 +7,7 @@ of white space that is too long for that engine, go to the library itself.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -42,6 +42,16 @@ class Encoder:
         ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in self.special}
         self.engine = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        """UTF-8 bytes that each id stands for."""
+        out = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for i in range(self.engine.max_token_value + 1):
+            out[i] = len(self.engine.decode_single_token_bytes(i))
+        for token in self.special:
+            out[self.tokenizer.token_to_id(token)] = len(token.encode())
+        return out
+
     def ids(self, text: str | None) -> np.ndarray:
         """Ids as unsigned 32-bit numbers."""
         if not text:

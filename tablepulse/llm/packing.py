@@ -2,8 +2,11 @@
 
 An example demands tokens, one segment and loss-bearing tokens; a sequence has limits on all three. Sequences
 are filled one at a time: of all examples that still fit, the next is the one whose demand has the greatest
-dot product with what the sequence has left, both as shares of the limits. Examples of equal demand are
-interchangeable, so they are kept as counted kinds and a choice costs as much as there are kinds.
+dot product with what the sequence has left, both as shares of the limits, and limits weighted by the square of how
+much all waiting examples demand of them (the scarce one decides). Examples of equal demand are interchangeable, so they are kept as counted kinds and a choice costs as much as there are kinds.
+
+Documents are cut freely. A piece takes no more loss-bearing tokens than a sequence may hold, and the prompt of a
+document that is longer than a sequence is cut into pieces that fit beside such a piece.
 
 Tasks pack what they encode, in pools of a bounded size, and hand nothing to one another: no shuffle, and no
 key can be hot. What remains of a pool in an unfilled sequence goes into the next pool.
@@ -18,9 +21,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import ship
 from .bpe import default_path, encoder
 from .words import pieces
 
@@ -57,11 +61,13 @@ def pack(demands: np.ndarray, limits: Limits) -> tuple[list[list[int]], list[lis
     full, part = [], []
     while len(need):
         rest, chosen = cap.astype(np.int64), []
+        weight = left_of @ share
+        weight = (weight / weight.max()) ** 2
         while True:
             fits = np.flatnonzero((need <= rest).all(axis=1))
             if not len(fits):
                 break
-            best = fits[np.argmax(share[fits] @ (rest / cap))]
+            best = fits[np.argmax(share[fits] @ (rest / cap * weight))]
             times = max(1, min(len(waiting[best]), int((rest // np.maximum(need[best], 1)).min()))) if len(fits) == 1 else 1
             for _ in range(times):
                 chosen.append(waiting[best].pop())
@@ -75,11 +81,25 @@ def pack(demands: np.ndarray, limits: Limits) -> tuple[list[list[int]], list[lis
     return full, part
 
 
+def cut_document(total: int, prompt: int, limits: Limits) -> Iterator[tuple[int, int, int]]:
+    """(start, length, loss-bearing tokens) of the pieces of a document of ``total`` tokens, of which the first
+    ``prompt`` bear no loss."""
+    at, beside = 0, limits.tokens - limits.loss_tokens
+    if total > limits.tokens and beside > 0:
+        while prompt - at >= beside:
+            yield at, beside, 0
+            at += beside
+    while at < total:
+        free = max(0, prompt - at)
+        n = min(total - at, limits.tokens, free + limits.loss_tokens)
+        yield at, n, max(0, n - free)
+        at += n
+
+
 def _task(batches: Iterator[pa.RecordBatch], limits: Limits, path: str, end_id: int, pool_tokens: int) -> Iterator[pa.RecordBatch]:
-    ids = encoder(path).ids
+    ids, sizes = encoder(path).ids, encoder(path).sizes
     end = np.array([end_id], "<u4")
     sequence = TaskContext.get().partitionId() << 40
-    most = min(limits.tokens, limits.loss_tokens + 1)
     pool: list[tuple] = []
     held = 0
     rows: dict[str, list] = defaultdict(list)
@@ -109,13 +129,15 @@ def _task(batches: Iterator[pa.RecordBatch], limits: Limits, path: str, end_id:
         held = sum(p[2] for p in pool)
 
     for b in pieces(batches, "text"):
-        for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"]):
+        for doc_id, text, prompt in zip(b["doc_id"].to_pylist(), b["text"], b["prompt_bytes"].to_pylist()):
             own = np.append(ids(text.as_py()), end).astype("<u4")
             total = len(own)
-            for start in range(0, total, most):
-                piece = own[start : start + most]
-                n = len(piece)
-                item = (doc_id, start, n, n - 1, total, piece.tobytes())
+            n_prompt = 0
+            if prompt > 0:
+                size = sizes[own[:-1]]
+                n_prompt = int(np.searchsorted(np.cumsum(size) - size, prompt))
+            for start, n, loss in cut_document(total, n_prompt, limits):
+                item = (doc_id, start, n, loss, total, own[start : start + n].tobytes())
                 if n == limits.tokens:
                     put([item])
                 else:
@@ -134,16 +156,17 @@ def _task(batches: Iterator[pa.RecordBatch], limits: Limits, path: str, end_id:
         yield batch()
 
 
-def pack_documents(docs: DataFrame, limits: Limits = Limits(), tokenizer: str | None = None, end_id: int = 0, pool_tokens: int = POOL_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, limits: Limits = Limits(), tokenizer: str | None = None, end_id: int = 0, pool_tokens: int = POOL_TOKENS, prompt_bytes: Column | None = None) -> DataFrame:
     """Sequences of encoded documents, one row per piece.
 
-    A document is its ids and ``end_id``; null and empty texts are ``end_id`` alone. It is cut every
-    ``limits.tokens`` ids (less if the loss limit is lower), and all pieces are packed. Every id of a piece
-    but its first bears loss. Columns: doc_id, start, length, loss_tokens, doc_tokens, sequence_id (unique,
+    A document is its ids and ``end_id``; null and empty texts are ``end_id`` alone. It is cut into pieces by
+    ``cut_document``, and all pieces are packed. ``prompt_bytes``: how many UTF-8 bytes of a text are its prompt
+    (null or negative: none); ids that begin there bear no loss, all others and ``end_id`` do. Columns: doc_id, start, length, loss_tokens, doc_tokens, sequence_id (unique,
     not gapless), offset, segment, padded_length, ids (little-endian unsigned 32-bit numbers). Repeated rows
     are packed each for itself, and a null doc_id stays null. An empty table gives no pieces. Other columns are
     ignored.
     """
+    ship(docs.sparkSession)
     path = tokenizer or default_path()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.lit(0) if prompt_bytes is None else prompt_bytes, F.lit(0)).cast("long").alias("prompt_bytes"))
     return rows.mapInArrow(lambda batches: _task(batches, limits, path, end_id, pool_tokens), PIECES)

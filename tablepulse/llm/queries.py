@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ._common import table
 from .chat import format_pairs, swapped_replies
-from .decontaminate import find_contamination, hit_words, matched_items
+from .decontaminate import find_contamination, hit_words
 from .jaccard import similarity_classes
 from .lm import score_documents
-from .packing import pack_documents
+from .packing import Limits, pack_documents
 from .quality import RULES, STOP_WORDS, quality
 from .sharding import shard
 from .token_counts import token_counts
@@ -58,9 +58,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("text"), limits=CONTEXT_LIMITS, shares=SHARES)
 
 
+#: op5: a text's first line is its prompt, if others follow; sequences hold at most so many segments and loss-bearing tokens.
+PACKING = Limits(tokens=1024, segments=8, loss_tokens=1008)
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    prompt = F.when(F.instr("text", "\n") > 0, F.octet_length(F.substring_index("text", "\n", 1)) + 1)
+    out = pack_documents(docs, PACKING, prompt_bytes=prompt)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +86,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    out = find_contamination(docs, benchmark).select("doc_id", "n_words", hit_words(F.col("matches")).alias("n_hit"), matched_items(F.col("matches")).alias("items"))
+    out = find_contamination(docs, benchmark).select("doc_id", "n_words", hit_words(F.col("matches")).alias("n_hit"), "items")
     return out.select(
         "doc_id",
         "n_words",

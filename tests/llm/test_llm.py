@@ -1,9 +1,11 @@
 """The ten operators and the pipeline against brute force, and on awkward inputs."""
 
 import collections
+import gzip
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -16,14 +18,14 @@ from tablepulse.llm import attention, jaccard, lm, packing, sharding, warc
 from tablepulse.llm import quality as quality_module
 from tablepulse.llm.bpe import default_path, encoder
 from tablepulse.llm.chat import format_pairs, preference_pairs, swapped_replies
-from tablepulse.llm.decontaminate import find_contamination, hit_words, matched_items
+from tablepulse.llm.decontaminate import Block, Found, Sequence, common, decontaminate, find_contamination, hit_words, suffix_array
 from tablepulse.llm.graph import components
 from tablepulse.llm.lm import score_documents
 from tablepulse.llm.packed import pack48, unpack48
 from tablepulse.llm.quality import quality
 from tablepulse.llm.token_counts import token_counts
 from tablepulse.llm.url_filters import url_filter
-from tablepulse.llm.words import SPACES, word_hashes
+from tablepulse.llm.words import MARKS, SPACES, word_hashes
 
 LOREM = "the quick brown fox jumps over the lazy dog and runs far away from it while nobody looks at all today".split()
 
@@ -190,6 +192,31 @@ def test_large_groups_are_split(spark, monkeypatch):
     assert sorted(got, key=str) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("base", [0, 1 << 62, (1 << 63) - 60, -(1 << 63)])
+def test_classes_of_any_ids(spark, base):
+    rows = [(base + i, near(text(500, 120), i)) for i in (5, 12, 30)] + [(base + 40 + i, text(600 + i)) for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard.similarity_classes(frame).collect()), key=str) == brute_classes(rows)
+    assert {r[0] for r in jaccard.keep_one(frame).collect()} == {base + i for i in (5, 40, 41, 42)}
+
+
+def test_keep_one_row_of_each_component(spark, empty):
+    rows = [(1, BASE, "a"), (1, BASE, "b"), (2, near(BASE, 3), "c"), (2, text(70), "other text of the same id"), (None, BASE, "d"), (None, text(71), "e"), (None, text(71), "f"), (3, None, "g"), (3, None, "h"), (4, text(72), "i"), (4, text(72), "j")]
+    got = collections.Counter((r["doc_id"], r["text"]) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n long, root string".replace("n long, ", "")).repartition(3)).collect())
+    assert got == {(1, BASE): 1, (2, text(70)): 1, (None, text(71)): 1, (3, None): 2, (4, text(72)): 1}
+    assert jaccard.keep_one(empty).count() == 0
+
+
+def test_sizes_of_a_large_component(spark, monkeypatch):
+    """A chain of sets of growing size: blocks by size lose no link."""
+    monkeypatch.setattr(jaccard, "PAIRED_CLASSES", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 4)
+    whole = text(80, 400).split()
+    rows = [(i, " ".join(whole[: 30 + 9 * i])) for i in range(40)] + [(100 + i, near(" ".join(whole[: 30 + 9 * i]), 11)) for i in range(40)]
+    got = [tuple(r) for r in jaccard.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == brute_classes(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (50, 200), (200, 50), (7, 7)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
@@ -265,6 +292,60 @@ def test_packing(docs, empty, limits):
     assert packing.pack_documents(empty, limits).count() == 0
 
 
+def test_prompts_bear_no_loss(spark):
+    limits = packing.Limits(64, 3, 48)
+    body = lambda s, n: " ".join(text(s, n).split())
+    rows = [(i, f"{body(i, 5 + i % 40)}\n{body(100 + i, 3 + 7 * i % 90)}") for i in range(60)] + [(90, None), (91, "<|endoftext|> x\ny"), (92, "é€ ü\n" + body(7, 50)), (None, "\n")]
+    frame = spark.createDataFrame([(i, t, t.index("\n") + 1 if t else None) for i, t in rows], "doc_id long, text string, chars int")
+    prompt = F.when(F.instr("text", "\n") > 0, F.octet_length(F.substring_index("text", "\n", 1)) + 1)
+    pieces = packing.pack_documents(frame, limits, pool_tokens=3000, prompt_bytes=prompt).collect()
+    check_packing(rows, pieces, limits)
+    e = encoder(default_path())
+    want = {}
+    for i, t in rows:
+        ids, loss, size = e.tokenizer.encode(t or "", add_special_tokens=False).ids, [], 0
+        head = len(t.split("\n")[0].encode()) + 1 if t else 0
+        for k in ids:
+            loss.append(size >= head)
+            size += len(e.tokenizer.id_to_token(k)) if k != 50256 else len("<|endoftext|>")
+        want[i] = [*loss, True]
+    for r in pieces:
+        assert r["loss_tokens"] == sum(want[r["doc_id"]][r["start"] : r["start"] + r["length"]])
+    for total, n_prompt in ((1, 0), (64, 64), (65, 0), (500, 499), (500, 100), (5, 900)):
+        cut = list(packing.cut_document(total, n_prompt, limits))
+        assert [c[0] for c in cut] == np.cumsum([0, *(c[1] for c in cut)])[:-1].tolist() and sum(c[1] for c in cut) == total
+        assert all(n <= 64 and loss == max(0, min(n, start + n - n_prompt)) <= 48 for start, n, loss in cut)
+
+
+def largest_fit(demands, limits):
+    """Sequences that the longest piece that still fits is put into each time."""
+    need, n = np.column_stack([demands[:, 0], np.ones(len(demands), int), demands[:, 1]]), 0
+    need = need[np.lexsort(-need.T[::-1])]
+    while len(need):
+        rest, n, keep = np.array([limits.tokens, limits.segments, limits.loss_tokens]), n + 1, np.ones(len(need), bool)
+        for i, d in enumerate(need):
+            if (d <= rest).all():
+                rest, keep[i] = rest - d, False
+        need = need[keep]
+    return n
+
+
+def test_the_heuristic_weighs_all_limits():
+    for limits, low, high, part_loss, share in ((packing.Limits(1000, 4, 500), 20, 500, 0.5, 1.0), (packing.Limits(1024, 8, 768), 20, 600, 0.5, 1.01), (packing.Limits(1000, 6, 400), 10, 300, 0.3, 1.02)):
+        ours = largest = 0
+        for seed in range(4):
+            rng = np.random.default_rng(seed)
+            # long prompts with short replies, and the other way round
+            tokens = rng.integers(low, high, 400)
+            demands = np.column_stack([tokens, (tokens * np.where(rng.random(400) < part_loss, 0.05, 0.95)).astype(int)])
+            full, part = packing.pack(demands, limits)
+            assert sorted(i for s in full + part for i in s) == list(range(400))
+            ours, largest = ours + len(full) + len(part), largest + largest_fit(demands, limits)
+        assert ours < share * largest
+    limits = packing.Limits(1000, 8, 500)
+    assert max(len(s) for s in sum(packing.pack(np.ones((100, 2), np.int64), limits), [])) == 8
+
+
 def test_packing_is_tight():
     n = np.random.default_rng(5).integers(1, 1024, 3000)
     full, part = packing.pack(np.column_stack([n, n - 1]), packing.Limits())
@@ -398,7 +479,37 @@ def test_warc_round_trip(spark, tmp_path):
     assert {bytes(r["payload"]).decode() for r in got if r["payload"] is not None} == {r[2] or "" for r in rows}
     assert warc.archive_round_trip(pages.where("false"), str(tmp_path / "e")).count() == 0
     with pytest.raises(ValueError):
-        list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+        list(warc.parse([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"]))
+    with pytest.raises(ValueError):
+        list(warc.inflate(memoryview(gzip.compress(b"x" * 100)[:-9])))
+
+
+def test_archives_of_bounded_files_with_a_member_per_record(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_FIRST", 0)
+    pages = spark.range(300).selectExpr("id as page_id", "concat('http://x/', id) as url", "case when id % 3 = 0 then repeat('same ', 50) else repeat(cast(id as string), 400) end as html").repartition(2)
+    path = str(tmp_path / "w")
+    warc.write_warc(warc.plan_captures(pages), path, file_bundles=1)
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 2000)
+    small = str(tmp_path / "s")
+    warc.write_warc(warc.plan_captures(pages), small, file_bundles=2)
+    files = [f.read_bytes() for f in (tmp_path / "w").glob("part-*")]
+    assert len(files) == 2
+    records = [r for f in files for r in warc.parse(warc.inflate(memoryview(f)))]
+    members, rest = 0, b"".join(files)
+    while rest:
+        d = zlib.decompressobj(31)
+        members += bool(d.decompress(rest))
+        rest = d.unused_data
+    assert members == len(records) == 900
+    by_id = {h["warc-record-id"]: h for h, _ in records}
+    assert len(by_id) == 900
+    again = [h for h, _ in records if h["warc-type"] == "revisit"]
+    assert len(again) == 99 and {h["warc-refers-to"] for h in again} <= set(by_id)
+    whole = (tmp_path / "one").mkdir() or tmp_path / "one" / "a.warc.gz"
+    whole.write_bytes(gzip.compress(b"".join(b"".join(warc.inflate(memoryview(f))) for f in files)))
+    for p in (path, small, str(tmp_path / "one")):
+        got = {r["page_id"]: (r["record_type"], r["refers_to"], r["url"]) for r in warc.resolve(warc.transactions(warc.read_records(spark, p))).collect()}
+        assert got == {i: ("revisit" if i % 3 == 0 and i else "response", 0 if i % 3 == 0 and i else None, f"http://x/{i}") for i in range(300)}
 
 
 # 9
@@ -426,14 +537,64 @@ def test_contamination(spark, docs, empty):
                         items |= {str(item)} if item is not None else set()
         return (i, t, len(w), len(hit), sorted(items))
 
+    def match_lengths(t):
+        """Of each span of hit words: the longest match in it, word by word."""
+        w, own = tokens(t), [tokens(b) for _, b in bench]
+        best = [0] * len(w)
+        for b in own:
+            n = min(10, len(b))
+            for k in range(len(b)):
+                for p in range(len(w)):
+                    m = 0
+                    while k + m < len(b) and p + m < len(w) and b[k + m] == w[p + m]:
+                        m += 1
+                    if m and m >= n and (k == 0 or len(b) >= 10):
+                        best[p] = max(best[p], m)
+        hit = set(x for p, m in enumerate(best) for x in range(p, p + m))
+        spans = [[p for p in range(a, len(w) + 1)] for a in sorted(hit) if a - 1 not in hit]
+        return [max(best[p] for p in s[: next(i for i, p in enumerate(s) if p not in hit)]) for s in spans]
+
     for block_words in (1 << 20, 10):
         out = find_contamination(frame, table, block_words=block_words)
-        got = [tuple(r) for r in out.select("doc_id", "text", "n_words", hit_words(out["matches"]), matched_items(out["matches"])).collect()]
-        assert sorted(got, key=str) == sorted((judge(i, t) for i, t in extra), key=str)
+        rows = out.withColumn("n_hit", hit_words(out["matches"])).collect()
+        assert sorted(((r["doc_id"], r["text"], r["n_words"], r["n_hit"], r["items"]) for r in rows), key=str) == sorted((judge(i, t) for i, t in extra), key=str)
+        for r in rows:
+            if len(r["text"] or "") < 2000:
+                assert [m["match_length"] for m in r["matches"]] == match_lengths(r["text"]), r["doc_id"]
     longest = find_contamination(frame, table).where("doc_id = 901").first()["matches"]
-    assert max(m["length"] for m in longest) == 22
+    assert [(m["start"], m["length"], m["item_ids"], m["item_start"], m["doc_start"], m["match_length"]) for m in longest] == [(0, 17, ["10"], 3, 0, 17), (18, 22, ["10"], 18, 18, 22)]
     assert find_contamination(docs, table.where("false")).where("size(matches) > 0").count() == 0
     assert find_contamination(empty, table).count() == 0
+    clash = spark.createDataFrame([(1, "clean", -7, "x", 3), (2, BASE, -7, "x", 3)], "doc_id int, text string, n_words int, `a.b` string, Items int")
+    kept = decontaminate(clash, table)
+    assert kept.columns == clash.columns and [tuple(r) for r in kept.collect()] == [(1, "clean", -7, "x", 3)]
+
+
+def test_repeated_words_are_no_pairs():
+    """100,000 equal words against an item of 2000: memory in the order of the words, not of their pairs."""
+    block = Block([("a", "w " * 2000), ("b", "w " * 30), ("c", "v w")], 10)
+    h, at = word_hashes(pa.array(["w " * 100_000, "w " * 9, "w " * 50 + "u " + "v w"]), MARKS)
+    tracemalloc.start()
+    found = Found(len(h))
+    found.add(block, h, at)
+    items, matches = found.columns(at)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert items.to_pylist() == [["a", "b"], [], ["a", "b", "c"]]
+    got = [[(m["start"], m["length"], m["item_ids"], m["match_length"]) for m in d] for d in matches.to_pylist()]
+    assert got == [[(0, 100_000, ["a"], 2000)], [], [(0, 50, ["a"], 50), (51, 2, ["c"], 2)]]
+
+
+def test_suffix_arrays_are_in_order():
+    rng = np.random.default_rng(8)
+    w = rng.integers(0, 4, 400)
+    s = Sequence(w)
+    places = np.flatnonzero(s.words)
+    key = lambda p: s.words[p : s.end[p]].tolist()
+    assert [key(p) for p in suffix_array(s, places)] == sorted(key(p) for p in places)
+    i, j = rng.choice(places, 200), rng.choice(places, 200)
+    want = [next((k for k, (x, y) in enumerate(zip(key(a), key(b))) if x != y), min(len(key(a)), len(key(b)))) for a, b in zip(i, j)]
+    assert common(s, i, s, j).tolist() == want
 
 
 # 10
