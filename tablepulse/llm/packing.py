@@ -5,8 +5,7 @@ are filled one at a time: of all examples that still fit, the next is the one wh
 dot product with what the sequence has left, both as shares of the limits, and limits weighted by the square of how
 much all waiting examples demand of them (the scarce one decides). Examples of equal demand are interchangeable, so they are kept as counted kinds and a choice costs as much as there are kinds.
 
-Documents are cut freely. A piece takes no more loss-bearing tokens than a sequence may hold, and the prompt of a
-document that is longer than a sequence is cut into pieces that fit beside such a piece.
+Documents are cut into pieces that take as many tokens, and as many loss-bearing ones, as a sequence may hold.
 
 Tasks pack what they encode, in pools of a bounded size, and hand nothing to one another: no shuffle, and no
 key can be hot. What remains of a pool in an unfilled sequence goes into the next pool.
@@ -84,11 +83,7 @@ def pack(demands: np.ndarray, limits: Limits) -> tuple[list[list[int]], list[lis
 def cut_document(total: int, prompt: int, limits: Limits) -> Iterator[tuple[int, int, int]]:
     """(start, length, loss-bearing tokens) of the pieces of a document of ``total`` tokens, of which the first
     ``prompt`` bear no loss."""
-    at, beside = 0, limits.tokens - limits.loss_tokens
-    if total > limits.tokens and beside > 0:
-        while prompt - at >= beside:
-            yield at, beside, 0
-            at += beside
+    at = 0
     while at < total:
         free = max(0, prompt - at)
         n = min(total - at, limits.tokens, free + limits.loss_tokens)
