@@ -18,10 +18,12 @@ from .packed import ranges
 CONTEXT, STRIDE = 32, 24
 DIM, HIDDEN = 16, 32
 #: Windows that are scored, or learned from, together.
-BATCH, LEARN = 256, 96
+BATCH, LEARN = 256, 48
 #: The heaviest nodes of the tree, which most paths share, are worked out for all ids by matrix products.
 TOP = 64
-RATE = 0.12
+RATE = 0.15
+#: Squared gradients that every parameter begins with.
+PAST = 1e-2
 
 
 class Tree:
@@ -249,17 +251,18 @@ def _rows(m: dict[str, np.ndarray], past: dict[str, np.ndarray], name: str, row:
     m[name][row] -= np.float32(RATE) * d / np.sqrt(p)
 
 
-def window_places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def window_places(at: np.ndarray, stride: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Text and number of each window over texts that begin ``at``."""
-    length = np.diff(at)
-    return ranges(np.zeros(len(length), np.int64), np.where(length <= CONTEXT, 1, 1 + -(-(length - CONTEXT) // STRIDE)))
+    length, stride = np.diff(at), stride or STRIDE
+    return ranges(np.zeros(len(length), np.int64), np.where(length <= CONTEXT, 1, 1 + -(-(length - CONTEXT) // stride)))
 
 
-def fill_windows(ids: np.ndarray, at: np.ndarray, end: int, text: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fill_windows(ids: np.ndarray, at: np.ndarray, end: int, text: np.ndarray, k: np.ndarray, stride: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, next ids, and which of those are scored, for windows ``k`` of ``text``."""
-    place = k[:, None] * STRIDE + np.arange(CONTEXT)
+    stride = stride or STRIDE
+    place = k[:, None] * stride + np.arange(CONTEXT)
     there = place < np.diff(at)[text][:, None]
-    scored = there & ((k[:, None] == 0) | (np.arange(CONTEXT) >= CONTEXT - STRIDE))
+    scored = there & ((k[:, None] == 0) | (np.arange(CONTEXT) >= CONTEXT - stride))
     index = np.where(there, at[text][:, None] + place, 0)
     y = np.where(there, ids[index], end)
     x = np.where(there & (place > 0), ids[np.maximum(index - 1, 0)], end)
@@ -297,12 +300,20 @@ def _blocks(ids: np.ndarray, at: np.ndarray, end: int):
         yield *fill_windows(ids, at, end, own, k[i : i + BATCH]), own
 
 
-def train(m: dict[str, np.ndarray], tree: Tree, blocks) -> int:
-    """Adagrad over blocks of (x, y, scored); the number of ids learned from."""
-    past = {k: np.full_like(v, 1e-2) for k, v in m.items()}
+def training_blocks(ids: np.ndarray, at: np.ndarray, end: int, learned: np.ndarray):
+    """Windows to learn from, side by side, so that each id of the texts ``learned`` is learned once."""
+    text, k = window_places(at, CONTEXT)
+    own = np.flatnonzero(learned[text])
+    for i in range(0, len(own), LEARN):
+        some = own[i : i + LEARN]
+        yield fill_windows(ids, at, end, text[some], k[some], CONTEXT)
+
+
+def train(m: dict[str, np.ndarray], past: dict[str, np.ndarray], tree: Tree, blocks) -> int:
+    """Adagrad over blocks of (x, y, scored), in place; ``past``: sums of squared gradients. The number of ids
+    learned from."""
     n = 0
     for x, y, scored in blocks:
-        for i in range(0, len(x), LEARN):
-            step(m, past, tree, x[i : i + LEARN], y[i : i + LEARN], scored[i : i + LEARN])
+        step(m, past, tree, x, y, scored)
         n += int(scored.sum())
     return n

@@ -1,19 +1,21 @@
 """Language-model scoring: exact word statistics, and a causal self-attention model on subword ids.
 
-1. One pass over the training documents: exact counts of all words (packed, by range of hashes), exact counts
-   of all subword ids, and the ids themselves, to learn from. All three grow with the corpus.
-2. The model (``attention``): the tree of ids and its odds come from the exact counts; tasks learn from every
-   window of the ids they hold, each from the same start, and their parameters are averaged, for ``ROUNDS`` rounds.
-3. One pass over all documents: overlapping windows score every id once. For the word statistics a batch sends
-   each distinct word once to the range that counted it, and gets its count back; documents are then summed.
-
-A word's ids do not depend on its neighbours, so a batch encodes each distinct word once.
+1. One pass over the documents: a batch of texts is encoded, each distinct word once (a word's ids do not depend on
+   its neighbours), and written down as word numbers and the ids of its distinct words. It sends each distinct word
+   with its count in training once to the range of hashes that counts it, and gets the exact count back.
+2. The model (``attention``): the tree of ids and its odds come from the exact counts of all training ids. In each of
+   ``ROUNDS`` rounds tasks learn from their next batches, all from the same start; what they have changed is put
+   together by sums, in groups of a bounded size. Every id of every training
+   document is learned from, once where there are enough of them.
+3. A batch, the counts of its words and the model come together: overlapping windows score every id once, and the
+   word statistics are summed by document.
+
+Words counted, ids learned from and batches written all grow with the corpus.
 """
 
 from __future__ import annotations
 
 import pickle
-import zlib
 from collections.abc import Iterator
 from math import ceil
 
@@ -24,26 +26,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from ._common import cut
+from ._common import cut, ship
 from .bpe import default_path, encoder
-from .packed import LOW, pack48, ranges, unpack48
+from .packed import pack48, ranges, unpack48
 from .words import SPACES, bounds, hashes, pieces, utf8
 
 #: Documents whose crc32(doc_id) leaves this remainder are held out.
 FOLDS, HELD_OUT = 7, 2
-#: Of so many windows of a document one is learned from, and one at least of each document.
-TRAIN_EVERY = 1
-ROUNDS = 2
-#: Parameters are averaged in so many parts.
-PARTS = 32
+ROUNDS = 4
+#: Tasks go over their batches of a round again, up to ``MOST_PASSES`` times, where training has fewer ids than this.
+LEAST_IDS, MOST_PASSES = 4_000_000, 16
+#: Parameters are put together in so many parts, and those of so many tasks at a time.
+PARTS, TOGETHER = 8, 32
 #: Distinct words of one range of hashes, about.
 RANGE_WORDS = 1 << 20
 
 #: Bytes of the texts that a task holds at a time.
 BATCH_BYTES = 4 << 20
 
-_FACTS = "kind int, r int, data binary"
-_WORDS, _UNITS, _WINDOWS, _WANTED, _DOCS = range(5)
+_FACTS = "batch long, turn int, kind int, r int, data binary"
+_MESSAGES = "batch long, kind int, r int, data binary"
+_WORDS, _UNITS, _DOCS, _TOTAL = range(4)
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -58,17 +61,18 @@ class _Batch:
         words = [raw[a:b].lower() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         self.unit_ids, self.unit_at = _encode(words, path)
 
-    def sequences(self, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with ``end`` after it, and where each begins."""
-        which, index = ranges(self.unit_at[self.word], self.unit_at[self.word + 1])
-        n = np.bincount(which, minlength=len(self.word)) if len(self.word) else np.zeros(0, np.int64)
-        before = np.concatenate([[0], np.cumsum(n)])[self.at]
-        at = before + np.arange(len(before))
-        out = np.full(at[-1], end, np.int64)
-        inside = np.ones(at[-1], bool)
-        inside[at[1:] - 1] = False
-        out[inside] = self.unit_ids[index]
-        return out, at
+
+def sequences(unit_ids: np.ndarray, unit_at: np.ndarray, word: np.ndarray, word_at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, given as numbers of words, each with ``end`` after it, and where each begins."""
+    begin, stop = unit_at[word], unit_at[word + 1]
+    _, index = ranges(begin, stop)
+    before = np.concatenate([[0], np.cumsum(stop - begin)])[word_at]
+    at = before + np.arange(len(before))
+    out = np.full(at[-1], end, np.int64)
+    inside = np.ones(at[-1], bool)
+    inside[at[1:] - 1] = False
+    out[inside] = unit_ids[index]
+    return out, at
 
 
 def _spaced(path: str) -> np.ndarray:
@@ -102,60 +106,88 @@ def _encode(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _by_range(types: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     r = (types >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(types), np.int64)
-    edges = np.searchsorted(r, np.arange((1 << bits) + 1))
-    return [(k, edges[k], edges[k + 1]) for k in range(1 << bits) if edges[k + 1] > edges[k]]
+    edges = np.append(np.flatnonzero(np.diff(r, prepend=-1)), len(r))
+    return [(int(r[i]), i, j) for i, j in zip(edges.tolist(), edges[1:].tolist())]
 
 
 def _low(types: np.ndarray, bits: int) -> np.ndarray:
-    return (types >> np.uint64(16 - bits)) & LOW
+    width = min(48, 64 - bits)
+    return (types >> np.uint64(64 - bits - width)) & np.uint64((1 << width) - 1)
 
 
 def _end(path: str) -> int:
     return encoder(path).engine.max_token_value + 1
 
 
-def _gather(batches: Iterator[pa.RecordBatch], bits: int, path: str, every: int) -> Iterator[pa.RecordBatch]:
-    """Facts of the training documents of one task."""
+def _gather(batches: Iterator[pa.RecordBatch], bits: int, path: str) -> Iterator[pa.RecordBatch]:
+    """Facts of the documents of one task."""
     end = _end(path)
-    units = np.zeros(end + 1, np.int64)
+    small = "<u4" if end > 0xFFFF else "<u2"
+    units, task, turn = np.zeros(end + 1, np.int64), TaskContext.get().partitionId(), 0
     for batch in pieces(batches, "text", BATCH_BYTES):
-        b = _Batch(batch["text"], path)
-        counts = np.bincount(b.word, minlength=len(b.types))
+        b, key = _Batch(batch["text"], path), (task << 32) + turn
+        held = batch["held_out"].to_numpy(zero_copy_only=False)
+        learned = b.word[np.repeat(~held, np.diff(b.at))]
+        counts = np.bincount(learned, minlength=len(b.types))
+        per_unit = np.repeat(counts, np.diff(b.unit_at))
+        units += np.bincount(b.unit_ids, per_unit, end + 1).astype(np.int64)
+        units[end] += int((~held).sum())
         low = _low(b.types, bits)
-        rows = [(_WORDS, k, pickle.dumps((pack48(low[i:j]), counts[i:j].astype("<u4").tobytes()))) for k, i, j in _by_range(b.types, bits)]
-        ids, at = b.sequences(end)
-        units += np.bincount(ids, minlength=end + 1)
-        text, k = attention.window_places(at)
-        pick = _picked(batch["doc_id"].to_pylist(), text, k, every)
-        rows.append((_WINDOWS, 0, pickle.dumps((ids.astype("<u4" if end > 0xFFFF else "<u2"), at, np.packbits(pick)))))
+        rows = [(key, turn, _WORDS, k, pickle.dumps((pack48(low[i:j]), counts[i:j].astype("<u4").tobytes()))) for k, i, j in _by_range(b.types, bits)]
+        own = batch["doc_id"]
+        ids = (own.fill_null(0).to_numpy(), own.is_null().to_numpy(zero_copy_only=False), held)
+        rows.append((key, turn, _DOCS, key % (1 << 20), pickle.dumps((*ids, b.at, b.word.astype("<u4"), b.unit_ids.astype(small), np.diff(b.unit_at).astype("<u4")), protocol=5)))
         yield _fact_batch(rows)
+        turn += 1
     seen = np.flatnonzero(units)
     if len(seen):
-        yield _fact_batch([(_UNITS, 0, pickle.dumps((seen, units[seen])))])
+        yield _fact_batch([(-1, -1, _UNITS, 0, pickle.dumps((seen, units[seen])))])
 
 
-def _picked(doc_ids: list, text: np.ndarray, k: np.ndarray, every: int) -> np.ndarray:
-    """Which windows ``k`` of the texts are learned from: one of ``every``, and one at least of each text."""
-    if every == 1:
-        return np.ones(len(k), bool)
-    chance = np.array([zlib.crc32(str(d).encode()) // FOLDS for d in doc_ids], np.int64)
-    return (k + chance[text]) % np.minimum(np.bincount(text, minlength=len(doc_ids)), every)[text] == 0
+def _opened(data: bytes, end: int) -> tuple:
+    """Of a batch: doc_ids, which of them are null, which texts are held out, where their words begin, the words; ids
+    of all texts and where each begins."""
+    doc_ids, null, held, word_at, word, unit_ids, lengths = pickle.loads(data)
+    ids, at = sequences(unit_ids, np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), word, word_at, end)
+    return doc_ids, null, held, word_at, word, ids, at
 
 
 def _fact_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "r", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["batch", "turn", "kind", "r", "data"])
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Of one range: its distinct words and their counts."""
-    got = [pickle.loads(d.as_py()) for d in table["data"]]
-    low = np.concatenate([unpack48(p) for p, _ in got])
-    count = np.concatenate([np.frombuffer(c, "<u4") for _, c in got]).astype(np.int64)
-    order = np.argsort(low, kind="stable")
-    low = low[order]
-    first = np.flatnonzero(np.diff(low, prepend=low[:1] + np.uint64(1)) != 0)
+def _answer(table: pa.Table) -> pa.Table:
+    """Of one range: to each batch the training counts of the words that it sent; and how many distinct words and
+    words in all training has here."""
+    sent = [(batch, *pickle.loads(d.as_py())) for batch, d in zip(table["batch"].to_pylist(), table["data"])]
+    low = [unpack48(p) for _, p, _ in sent]
+    every = np.concatenate(low)
+    count = np.concatenate([np.frombuffer(c, "<u4") for _, _, c in sent]).astype(np.int64)
+    order = np.argsort(every, kind="stable")
+    sorted_low = every[order]
+    first = np.flatnonzero(np.diff(sorted_low, prepend=sorted_low[:1] + np.uint64(1)) != 0)
     total = np.add.reduceat(count[order], first)
-    return pa.table({"r": pa.array([table["r"][0].as_py()], pa.int32()), "types": pa.array([len(first)], pa.int64()), "tokens": pa.array([int(total.sum())], pa.int64()), "data": pa.array([pickle.dumps((pack48(low[first]), total.astype("<u8").tobytes()))], pa.binary())})
+    back = np.empty(len(every), np.int64)
+    back[order] = np.repeat(total, np.diff(np.append(first, len(every))))
+    r, out, at = table["r"][0].as_py(), [], 0
+    for (batch, _, _), own in zip(sent, low):
+        c = back[at : at + len(own)]
+        out.append((batch, _WORDS, r, pickle.dumps((np.minimum(c, 255).astype(np.uint8).tobytes(), c[c >= 255].astype("<u8").tobytes()))))
+        at += len(own)
+    out.append((-1, _TOTAL, r, pickle.dumps((int((total > 0).sum()), int(total.sum())))))
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["batch", "kind", "r", "data"])
+
+
+def _totals(answers: DataFrame) -> tuple[int, int]:
+    """Distinct words and all words of training, without ends."""
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [pickle.loads(d.as_py()) for d in b["data"]]
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["types", "tokens"])
+
+    row = answers.where(F.col("kind") == _TOTAL).select("data").mapInArrow(open_, "types long, tokens long").agg(F.sum("types"), F.sum("tokens")).first()
+    return row[0] or 0, row[1] or 0
 
 
 def _unit_counts(facts: DataFrame, n: int) -> np.ndarray:
@@ -175,110 +207,109 @@ def _unit_counts(facts: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def _changes(before: tuple[np.ndarray, np.ndarray], m: dict, past: dict, task: int) -> Iterator[pa.RecordBatch]:
+    """What a task has changed, in parts: of each parameter that it touched the sum of squared gradients that came
+    to it, and that times its change."""
+    moved, came = attention.flat(m) - before[0], attention.flat(past) - before[1]
+    edges = np.linspace(0, len(moved), PARTS + 1).astype(np.int64)
+    for p, (a, b) in enumerate(zip(edges, edges[1:])):
+        at = np.flatnonzero(came[a:b] > 0)
+        yield _part(p, task, at, came[a:b][at], (came[a:b] * moved[a:b])[at])
+
+
+def _part(p: int, slot: int, at: np.ndarray, came: np.ndarray, moved: np.ndarray) -> pa.RecordBatch:
+    data = pickle.dumps((at.astype("<u4").tobytes(), came.astype("<f4").tobytes(), moved.astype("<f4").tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([slot], pa.int64()), pa.array([data], pa.binary())], names=["part", "slot", "data"])
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """The changes of some tasks in one part as those of one."""
+    got = [pickle.loads(d.as_py()) for d in table["data"]]
+    at = np.concatenate([np.frombuffer(x, "<u4") for x, _, _ in got]).astype(np.int64)
+    sums = [np.bincount(at, np.concatenate([np.frombuffer(g[k], "<f4") for g in got])) for k in (1, 2)]
+    seen = np.flatnonzero(sums[0]) if len(at) else at
+    return pa.Table.from_batches([_part(table["part"][0].as_py(), table["slot"][0].as_py(), seen, sums[0][seen], sums[1][seen])])
+
+
 def fit(facts: DataFrame, end: int, rounds: int = ROUNDS) -> tuple[dict[str, np.ndarray], attention.Tree]:
-    """The model, learned by tasks from their own windows and averaged (weights: ids learned from)."""
+    """The model, learned by tasks from batches of their own and put together after each round.
+
+    A parameter moves by the mean of what the tasks have moved it by, weighted by the squared gradients that each has
+    seen: one that few tasks touch keeps the whole of their change. Sums of squared gradients go on over all tasks.
+    """
     spark = facts.sparkSession
-    tree = attention.Tree(_unit_counts(facts, end + 1))
+    counts = _unit_counts(facts, end + 1)
+    tree = attention.Tree(counts)
     model = attention.start(tree, end + 1)
-    held = facts.where(F.col("kind") == _WINDOWS).select("data")
-    for k in range(rounds):
-        sent = spark.sparkContext.broadcast((attention.flat(model), tree))
+    passes = max(1, min(MOST_PASSES, LEAST_IDS // max(1, int(counts.sum()))))
+    now, past = attention.flat(model), np.full(attention.flat(model).shape, attention.PAST, np.float32)
+    held = facts.where(F.col("kind") == _DOCS)
+    size = held.agg(F.count("*"), F.max("turn")).first()
+    n_batches, rounds = size[0], min(rounds, (size[1] or 0) + 1)
+    for k in range(rounds if n_batches else 0):
+        sent = spark.sparkContext.broadcast((now, past, tree))
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            values, own_tree = sent.value
-            learned = attention.unflat(values, end + 1)
+            *before, own_tree = sent.value
+            m, own_past = (attention.unflat(x, end + 1) for x in before)
 
             def blocks():
+                again = []  # of a small corpus only
                 for b in batches:
                     for d in b["data"]:
-                        ids, at, pick = pickle.loads(d.as_py())
-                        ids = ids.astype(np.int64)
-                        text, place = attention.window_places(at)
-                        own = np.flatnonzero(np.unpackbits(pick, count=len(text)))[k::rounds]
-                        for i in range(0, len(own), attention.LEARN):
-                            some = own[i : i + attention.LEARN]
-                            yield attention.fill_windows(ids, at, end, text[some], place[some])
-
-            n = attention.train(learned, own_tree, blocks())
-            if n:
-                for p, part in enumerate(np.array_split(attention.flat(learned), PARTS)):
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([n], pa.int64()), pa.array([part.astype("<f4").tobytes()], pa.binary())], names=["part", "n", "data"])
-
-        def average(table: pa.Table) -> pa.Table:
-            total, weight = 0, 0
-            for n, d in zip(table["n"].to_pylist(), table["data"]):
-                total, weight = total + n * np.frombuffer(d.as_py(), "<f4").astype(np.float64), weight + n
-            return pa.table({"part": table["part"].slice(0, 1), "data": pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())})
-
-        got = held.mapInArrow(learn, "part int, n long, data binary").groupBy("part").applyInArrow(average, "part int, data binary").collect()
-        if got:  # the parts of one model
-            model = attention.unflat(np.concatenate([np.frombuffer(r["data"], "<f4") for r in sorted(got, key=lambda r: r["part"])]), end + 1)
+                        data = d.as_py()
+                        again += [data] * (passes > 1)
+                        _, _, out, _, _, ids, at = _opened(data, end)
+                        yield from attention.training_blocks(ids, at, end, ~out)
+                for data in again * (passes - 1):
+                    _, _, out, _, _, ids, at = _opened(data, end)
+                    yield from attention.training_blocks(ids, at, end, ~out)
+
+            if attention.train(m, own_past, own_tree, blocks()):
+                yield from _changes(before, m, own_past, TaskContext.get().partitionId())
+
+        changed = held.where(F.col("turn") % rounds == k).select("data").mapInArrow(learn, "part int, slot long, data binary")
+        tasks = n_batches
+        while tasks > TOGETHER:
+            changed = changed.withColumn("slot", F.floor(F.col("slot") / TOGETHER)).groupBy("part", "slot").applyInArrow(_add, "part int, slot long, data binary")
+            tasks = -(-tasks // TOGETHER)
+        edges = np.linspace(0, len(now), PARTS + 1).astype(np.int64)
+        for r in changed.groupBy("part").applyInArrow(_add, "part int, slot long, data binary").collect():  # the parts of one model
+            at, came, moved = pickle.loads(r["data"])
+            at = np.frombuffer(at, "<u4") + edges[r["part"]]
+            came, moved = np.frombuffer(came, "<f4"), np.frombuffer(moved, "<f4")
+            now[at] += moved / came
+            past[at] += came
         sent.unpersist()
-    return model, tree
+    return attention.unflat(now, end + 1), tree
 
 
-def _ask(batches: Iterator[pa.RecordBatch], bits: int, path: str, sent) -> Iterator[pa.RecordBatch]:
-    """Of each batch: its distinct words, by range, and its documents with scores and words."""
+def _sum_up(table: pa.Table, path: str, sent, n_all: int, n_types: int, n_ends: int) -> pa.Table:
+    """Of one batch: the scores of its documents."""
     values, tree = sent.value
     end = _end(path)
-    model = attention.unflat(values, end + 1)
-    key = TaskContext.get().partitionId() << 32
-    for batch in pieces(batches, "text", BATCH_BYTES):
-        b = _Batch(batch["text"], path)
-        ids, at = b.sequences(end)
-        score = attention.score(model, tree, ids, at, end) / np.log(10)
-        low = _low(b.types, bits)
-        rows = [(key, _WANTED, k, pickle.dumps(pack48(low[i:j]))) for k, i, j in _by_range(b.types, bits)]
-        own = batch["doc_id"]
-        rows.append((key, _DOCS, key % (1 << bits), pickle.dumps((own.fill_null(0).to_numpy(), own.is_null().to_numpy(zero_copy_only=False), batch["held_out"].to_numpy(zero_copy_only=False), score, b.at, b.word.astype(np.uint32)), protocol=5)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["batch", "kind", "r", "data"])
-        key += 1
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """Of one range: the counts that each batch asked for."""
-    known, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for kind, d in zip(table["kind"].to_pylist(), table["data"]):
-        if kind == _WORDS:
-            packed, counts = pickle.loads(d.as_py())
-            known, total = unpack48(packed), np.frombuffer(counts, "<u8").astype(np.int64)
-    out = []
-    for batch, kind, r, d in zip(table["batch"].to_pylist(), table["kind"].to_pylist(), table["r"].to_pylist(), table["data"]):
-        if kind == _DOCS:
-            out.append((batch, kind, r, d.as_py()))
-        elif kind == _WANTED:
-            low = unpack48(pickle.loads(d.as_py()))
-            at = np.minimum(np.searchsorted(known, low), max(0, len(known) - 1))
-            count = np.where(known[at] == low, total[at], 0) if len(known) else np.zeros(len(low), np.int64)
-            small = np.minimum(count, 255).astype(np.uint8)
-            out.append((batch, kind, r, pickle.dumps((small.tobytes(), count[count >= 255].astype("<u8").tobytes()))))
-    columns = list(zip(*out)) if out else [()] * 4
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["batch", "kind", "r", "data"])
-
-
-def _sum_up(table: pa.Table, n_all: int, n_types: int, n_ends: int) -> pa.Table:
-    """Of one batch: the scores of its documents."""
     replies = {}
     for kind, r, d in zip(table["kind"].to_pylist(), table["r"].to_pylist(), table["data"]):
-        got = pickle.loads(d.as_py())
         if kind == _DOCS:
-            ids, null, held, score, at, word = got
+            doc_ids, null, held, word_at, word, ids, at = _opened(d.as_py(), end)
         else:
-            c = np.frombuffer(got[0], np.uint8).astype(np.int64)
-            c[c == 255] = np.frombuffer(got[1], "<u8").astype(np.int64)
+            small, large = pickle.loads(d.as_py())
+            c = np.frombuffer(small, np.uint8).astype(np.int64)
+            c[c == 255] = np.frombuffer(large, "<u8").astype(np.int64)
             replies[r] = c
     count = np.concatenate([replies[r] for r in sorted(replies)]) if replies else np.zeros(0, np.int64)
     value = np.log10((count + 1) / (n_all + n_types + 1))
-    known = np.concatenate([[0], np.cumsum((count > 0)[word])])[at]
-    doc = np.repeat(np.arange(len(ids)), np.diff(at))
-    base = np.bincount(doc, value[word], len(ids)) + np.log10((n_ends + 1) / (n_all + n_types + 1))
+    n_words = np.diff(word_at)
+    known = np.concatenate([[0], np.cumsum((count > 0)[word])])[word_at]
+    base = np.bincount(np.repeat(np.arange(len(doc_ids)), n_words), value[word], len(doc_ids)) + np.log10((n_ends + 1) / (n_all + n_types + 1))
+    score = attention.score(attention.unflat(values, end + 1), tree, ids, at, end) / np.log(10)
     return pa.Table.from_arrays(
-        [pa.array(ids, pa.int64(), mask=null), pa.array(held), pa.array(np.diff(at) + 1, pa.int64()), pa.array(np.diff(known) + (n_ends > 0), pa.int64()), pa.array(base), pa.array(score)],
+        [pa.array(doc_ids, pa.int64(), mask=null), pa.array(held), pa.array(n_words + 1, pa.int64()), pa.array(np.diff(known) + (n_ends > 0), pa.int64()), pa.array(base), pa.array(score)],
         names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
     )
 
 
-def score_documents(docs: DataFrame, tokenizer: str | None = None, train_every: int = TRAIN_EVERY, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, tokenizer: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) with its scores.
 
     Tokens are words and one end per text; A-Z are folded. n_known: tokens that training has. train_tokens: all
@@ -288,22 +319,21 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None, train_every:
     are 0 and the model is as it starts. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     path = tokenizer or default_path()
     end = _end(path)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("held_out", held)
     volume = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(~F.col("held_out"), 1)).alias("train")).first()
     n_ends = volume["train"]
-    bits = min(15, max(0, ceil((volume["bytes"] or 0) / 30 / RANGE_WORDS) - 1).bit_length())
-    facts = cut(rows.where(~F.col("held_out")).mapInArrow(lambda b: _gather(b, bits, path, train_every), _FACTS), "facts")
-    merged = cut(facts.where(F.col("kind") == _WORDS).groupBy("r").applyInArrow(_merge, "r int, types long, tokens long, data binary"), "words")
-    sums = merged.agg(F.sum("types"), F.sum("tokens")).first()
-    n_types, n_all = (sums[0] or 0) + (n_ends > 0), (sums[1] or 0) + n_ends
+    bits = min(30, max(0, ceil((volume["bytes"] or 0) / 30 / RANGE_WORDS) - 1).bit_length())
+    facts = cut(rows.mapInArrow(lambda b: _gather(b, bits, path), _FACTS), "facts", "zstd")
+    asked = facts.where(F.col("kind") == _WORDS).select("batch", "r", "data")
+    answers = cut(asked.groupBy("r").applyInArrow(_answer, _MESSAGES), "answers")
+    n_types, n_all = _totals(answers)
+    n_types, n_all = n_types + (n_ends > 0), n_all + n_ends
     model, tree = fit(facts, end, rounds)
     sent = spark.sparkContext.broadcast((attention.flat(model), tree))
-    kind = "batch long, kind int, r int, data binary"
-    asked = rows.mapInArrow(lambda b: _ask(b, bits, path, sent), kind)
-    known = merged.select(F.lit(-1).cast("long").alias("batch"), F.lit(_WORDS).alias("kind"), "r", "data")
-    answered = asked.unionByName(known).groupBy("r").applyInArrow(_answer, kind)
-    scored = answered.groupBy("batch").applyInArrow(lambda t: _sum_up(t, n_all, n_types, n_ends), _SCORES)
+    known = facts.where(F.col("kind") == _DOCS).select("batch", "kind", "r", "data").unionByName(answers.where(F.col("kind") == _WORDS))
+    scored = known.groupBy("batch").applyInArrow(lambda t: _sum_up(t, path, sent, n_all, n_types, n_ends), _SCORES)
     return scored.withColumn("train_tokens", F.lit(n_all).cast("long"))

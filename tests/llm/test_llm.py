@@ -430,7 +430,7 @@ def test_gradients():
 
 
 def test_scores(spark, docs, empty):
-    got = [tuple(r) for r in score_documents(docs, train_every=1).collect()]
+    got = [tuple(r) for r in score_documents(docs).collect()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     c = collections.Counter(w for i, t in DOCS if not held(i) for w in [*words(t), None])
     n, v = sum(c.values()), len(c)
@@ -445,17 +445,78 @@ def test_scores(spark, docs, empty):
 
 def test_model_learns(spark):
     rows = [(i, " ".join(["red green blue"] * 20)) for i in range(300)]
-    got = score_documents(spark.createDataFrame(rows, "doc_id long, text string"), train_every=1).where("held_out").agg({"score": "sum", "n_tokens": "sum"}).first()
+    got = score_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg({"score": "sum", "n_tokens": "sum"}).first()
     assert got[0] / got[1] > math.log10(1 / 3)  # better than words at random
 
 
-def test_every_window_is_learned_from(spark):
-    docs = spark.createDataFrame([(i, text(i, 5)) for i in range(60)], "doc_id long, text string").coalesce(1)  # a window each
-    got = [{r["doc_id"]: r["score"] for r in score_documents(docs, **own).collect()} for own in ({}, {"train_every": 1}, {"train_every": 8})]
-    assert got[0] == got[1] == got[2]
-    places, k = attention.window_places(np.array([0, 10, 100, 900]))
-    assert lm._picked([1, 2, None], places, k, 1).all()
-    assert np.bincount(places[lm._picked([1, 2, None], places, k, 8)]).min() >= 1
+def test_every_id_is_learned_from_once():
+    lengths = [1, 5, 32, 33, 64, 65, 200]
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    ids = np.arange(at[-1])  # all different
+    learned = np.array([True, True, False, True, True, False, True])
+    seen = np.concatenate([y[scored] for _, y, scored in attention.training_blocks(ids, at, 999, learned)])
+    assert sorted(seen.tolist()) == [k for i, on in enumerate(learned) if on for k in range(at[i], at[i + 1])]
+
+
+def plain_score(m, counts, ids, end):
+    """Of one text, id by id: every place's state from the whole window, every choice on the id's path by itself."""
+    tree, total = attention.Tree(counts), 0.0
+    for place in range(len(ids)):
+        k = 0 if place < attention.CONTEXT else -(-(place - attention.CONTEXT + 1) // attention.STRIDE)
+        first = k * attention.STRIDE
+        before = [end, *ids][first : place + 1]
+        X = np.array([m["E"][t] + m["P"][j] for j, t in enumerate(before)])
+        q, K, V = X[-1] @ m["Wq"], X @ m["Wk"], X @ m["Wv"]
+        weight = np.exp(K @ q / math.sqrt(attention.DIM))
+        h = X[-1] + (weight / weight.sum()) @ V @ m["Wo"]
+        g = h + np.maximum(h @ m["W1"] + m["b1"], 0) @ m["W2"]
+        y = ids[place]
+        for node, sign in zip(tree.node[tree.begin[y] : tree.begin[y + 1]], tree.sign[tree.begin[y] : tree.begin[y + 1]]):
+            total -= math.log1p(math.exp(-sign * (g @ m["N"][node] + m["b"][node])))
+    return total
+
+
+def test_scores_of_a_plain_loop():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 50, 120)
+    model = attention.start(attention.Tree(counts), 120)
+    model["N"] = rng.standard_normal(model["N"].shape).astype(np.float32) * 0.3
+    lengths = [1, 7, 31, 32, 33, 57, 140, 0]
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    ids = rng.integers(0, 120, at[-1])
+    got = attention.score(model, attention.Tree(counts), ids, at, 119)
+    exact = {k: v.astype(np.float64) for k, v in model.items()}
+    assert got == pytest.approx([plain_score(exact, counts, ids[a:b].tolist(), 119) for a, b in zip(at, at[1:])], rel=1e-4, abs=1e-4)
+
+
+def test_scores_of_an_unlearned_model(spark, docs):
+    """Before any round the model is the add-one unigram of all ids, texts and batches put together as they should."""
+    e = encoder(default_path())
+    end, held = e.engine.max_token_value + 1, lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    ids = {(i, t): [k for w in words(t) for k in e.plain(" " + w.decode()).tolist()] + [end] for i, t in DOCS}
+    c = collections.Counter(k for i, t in DOCS if not held(i) for k in ids[(i, t)])
+    n = sum(c.values()) + end + 1
+    want = [(i, sum(math.log10((c[k] + 1) / n) for k in ids[(i, t)])) for i, t in DOCS]
+    got = [(r["doc_id"], r["score"]) for r in score_documents(docs, rounds=0).collect()]
+    key = lambda r: (str(r[0]), r[1])
+    for (a, x), (b, y) in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert a == b and x == pytest.approx(y, rel=1e-3)
+
+
+def test_changes_are_put_together():
+    m = {"a": np.zeros(16, np.float32)}
+    before = (np.zeros(16, np.float32), np.full(16, 0.01, np.float32))
+    parts = []
+    for task, (at, move) in enumerate([(3, 2.0), (3, 4.0), (9, 5.0)]):
+        moved, past = {"a": m["a"].copy()}, {"a": before[1].copy()}
+        moved["a"][at], past["a"][at] = move, 1.01
+        parts += list(lm._changes(before, moved, past, task))
+    out = {}
+    for p in range(lm.PARTS):
+        some = [b for b in parts if b["part"][0].as_py() == p]
+        at, came, change = (np.frombuffer(x, t) for x, t in zip(lm.pickle.loads(lm._add(pa.Table.from_batches(some))["data"][0].as_py()), ("<u4", "<f4", "<f4")))
+        out |= {int(k) + 2 * p: (float(c), float(x / c)) for k, c, x in zip(at, came, change)}
+    assert out == {3: (2.0, 3.0), 9: (1.0, 5.0)}  # the mean of two tasks; the whole of one
 
 
 # 8
