@@ -49,6 +49,10 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+#: Work tables that this process has written and not removed.
+_written: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -57,16 +61,32 @@ def cut(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: the lineage ends there."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path, compression=codec)
+    _written.add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:
     """Deletes the files of a table that ``cut`` wrote, once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(top)
+    _delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def work_tables() -> frozenset[str]:
+    """Work tables that this process has written so far and not removed."""
+    return frozenset(_written)
+
+
+def remove_others(df: DataFrame, since: frozenset[str]) -> None:
+    """Deletes the work tables that were written after ``since`` was taken, but for those that ``df`` reads."""
+    own = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+    _delete(df.sparkSession, {p for p in _written - since if p.rsplit("/", 1)[-1] not in own})
+
+
+def _delete(spark: SparkSession, paths: set[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+        _written.difference_update({w for w in _written if w.rsplit("/", 1)[-1] == p.rsplit("/", 1)[-1]})
 
 
 #: Keys of more than one in so many rows are joined by broadcast; there can be no more of them than this.
