@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablepulse.llm._common import cut, ship, table
+from tablepulse.llm._common import cut, remove_others, table, work_tables
 from tablepulse.llm.decontaminate import decontaminate
 from tablepulse.llm.jaccard import keep_one
 from tablepulse.llm.packing import pack_documents
@@ -19,24 +20,28 @@ from tablepulse.llm.quality import quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality(docs).where("kept").select(*docs.columns)
+    """Documents that the quality rules keep, unchanged, also in columns named like the rules' counts. Null and empty
+    texts fail; repeated rows and null ids are judged each for itself; an empty table gives an empty result."""
+    text = F.col("text").cast("string").alias("text")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), text)
+    return quality(rows).where("kept").select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group that links of 0.75 and more join."""
-    ship(spark)
+    """One row, that of the least doc_id, of each group that links of 0.75 and more join. Texts without words are in
+    no group and stay; ids before nulls; repeated rows are a group; an empty table gives an empty result."""
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no ten words in a row (or whole shorter item) of ``benchmark`` stand."""
+    """Documents, unchanged, in which no ten words in a row (or whole shorter item) of ``benchmark`` stand. Null texts
+    and ids stay; an empty benchmark takes nothing away; an empty table gives an empty result."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
-    ship(spark)
+    """Pieces of documents in sequences of 1024 tokens. Null texts are an end alone, null ids stay null, repeated rows
+    are packed each for itself; an empty table gives no pieces."""
     return pack_documents(docs)
 
 
@@ -52,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), work_tables()
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)
+        remove_others(docs, before)  # the stage's own work tables, and what the stage before left
     return docs
