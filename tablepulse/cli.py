@@ -1,4 +1,4 @@
-"""``python -m tablepulse.cli``: check, cost, fix, watch, watch-trends, watch-status, demo, fleet and list.
+"""``python -m tablepulse.cli``: check, cost, fix, watch, watch-trends, watch-status, demo, fleet, list and serve.
 
 Exit codes: 0, 1 for critical findings or a finding without a fix, 2 if a table can't be loaded.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from . import config, render
 from .plans import engine
 from .sources.demo import NAME, demo_relations
+from .server import serve
 from .sources.reader import load
 from .streaming.watching import Store, loop
 from .tools import Tools
@@ -50,6 +51,7 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--namespace")
     g.add_argument("--dormant-days", type=int, default=90)
     sub.add_parser("list").add_argument("--namespace")
+    sub.add_parser("serve", help="the tools over standard input and output")
     return p
 
 
@@ -90,6 +92,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         row = engine.overall(found).first().asDict()
         print(render.pretty({"table_name": NAME, "overall": row, "summary": engine.summary(rel).first().asDict(), "findings": [r.asDict() for r in found.collect()]}))
         return 0
+    if args.command == "serve":
+        serve(tools)
+        return 0
     if args.command == "fleet":
         return show(tools.check_fleet(args.namespace, args.dormant_days))
     for name in tools.catalog.list_tables(args.namespace):

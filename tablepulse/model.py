@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,27 +19,30 @@ SCHEMAS = {
     "delete_files": "table_id string, file_path string, file_size_bytes long, record_count long, delete_type string, equality_ids array<int>",
     "manifests": "table_id string, manifest_path string, manifest_length long, partition_spec_id int, content int, added_snapshot_id long, added_files_count int, existing_files_count int, deleted_files_count int, added_rows_count long, existing_rows_count long, deleted_rows_count long",
     "storage_paths": "table_id string, path string, size long",
+    "unreadable": "table_id string, path string, error string",
 }
 
 
-@dataclass(frozen=True)
 class Relations:
-    tables: DataFrame
-    schema_fields: DataFrame
-    snapshots: DataFrame
-    refs: DataFrame
-    partition_specs: DataFrame
-    partition_fields: DataFrame
-    sort_fields: DataFrame
-    data_files: DataFrame
-    delete_files: DataFrame
-    manifests: DataFrame
-    storage_paths: DataFrame
+    """DataFrames by the names of ``SCHEMAS``. One may be given as a function that makes it when it is first used;
+    those that are not given are empty. ``memo`` holds what operators have worked out and share."""
+
+    def __init__(self, spark: SparkSession, given: dict[str, DataFrame | Callable[[], DataFrame]]):
+        if unknown := set(given) - set(SCHEMAS):
+            raise ValueError(f"no such relations: {sorted(unknown)}")
+        self.spark, self._given, self.memo = spark, dict(given), {}
 
     @classmethod
-    def of(cls, spark: SparkSession, **given: DataFrame) -> Relations:
-        """Relations that are not given are empty."""
-        return cls(**{f.name: given[f.name] if f.name in given else spark.createDataFrame([], SCHEMAS[f.name]) for f in fields(cls)})
+    def of(cls, spark: SparkSession, **given: DataFrame | Callable[[], DataFrame]) -> Relations:
+        return cls(spark, given)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        found = self._given.get(name)
+        if not isinstance(found, DataFrame):
+            found = self._given[name] = found() if found else self.spark.createDataFrame([], SCHEMAS[name])
+        return found
 
     def with_(self, **changed: DataFrame) -> Relations:
-        return replace(self, **changed)
+        return Relations(self.spark, self._given | changed)

@@ -1,8 +1,8 @@
 """Per-table aggregates that checks, costs and fixes read.
 
-``data_files`` is by far the largest relation. It is scanned once into a cube of counts and sums per (table,
-partition, spec, sort order); all other aggregates of files come from the cube. A table that holds a third of all
-files is merged map-side.
+``data_files`` is by far the largest relation. Counts and sums of it come from a cube per (table, partition, spec,
+sort order); where several aggregates are wanted the cube is written once (``share_cube``) and read by all of them.
+Median sizes and orphans are passes of their own. A table that holds a third of all files is merged map-side.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import Thresholds
 from ..functions.expressions import UNPARTITIONED, whole
 from ..model import Relations
+from .checkpoint import checkpointed
 from .order_stats import order_stats
 
 #: Small files for costs and fixes, whatever the threshold of the check is (fixed value).
@@ -23,7 +25,15 @@ FIX_SMALL_BYTES = 8 << 20
 _COUNTS = ("files", "bytes", "rows", "small", "small_bytes", "fix_small", "fix_small_bytes", "with_stats", "with_values", "with_nulls", "without_stats", "without_counts_bytes")
 
 
+def share_cube(rel: Relations, th: Thresholds) -> None:
+    """Works out the cube now; aggregates of ``rel`` with the same thresholds then read it."""
+    if th.small_file_bytes not in rel.memo:
+        rel.memo[th.small_file_bytes] = checkpointed(file_cube(rel, th))
+
+
 def file_cube(rel: Relations, th: Thresholds) -> DataFrame:
+    if th.small_file_bytes in rel.memo:
+        return rel.memo[th.small_file_bytes]
     size, one = F.col("file_size_bytes"), F.lit(1)
     small, fix_small = size < th.small_file_bytes, size < FIX_SMALL_BYTES
     values, nulls, sizes = F.coalesce("n_value_counts", F.lit(0)) > 0, F.coalesce("n_null_counts", F.lit(0)) > 0, F.coalesce("n_column_sizes", F.lit(0)) > 0
@@ -81,7 +91,7 @@ def file_stats(rel: Relations, th: Thresholds) -> DataFrame:
 def delete_stats(rel: Relations) -> DataFrame:
     position = F.col("delete_type") == "position_delete"
     return rel.delete_files.groupBy("table_id").agg(
-        F.count("*").alias("deletes"), F.count(F.when(position, 1)).alias("position_deletes"), F.count(F.when(~position, 1)).alias("equality_deletes"), F.coalesce(F.sum("record_count"), F.lit(0)).cast("long").alias("delete_rows")
+        F.count("*").alias("deletes"), F.coalesce(F.sum("file_size_bytes"), F.lit(0)).cast("long").alias("delete_bytes"), F.count(F.when(position, 1)).alias("position_deletes"), F.count(F.when(~position, 1)).alias("equality_deletes"), F.coalesce(F.sum("record_count"), F.lit(0)).cast("long").alias("delete_rows")
     )
 
 
@@ -169,14 +179,28 @@ def ref_stats(rel: Relations, th: Thresholds, as_of: datetime) -> DataFrame:
 
 def hotspots(rel: Relations, th: Thresholds, k: int = 5) -> DataFrame:
     """The ``k`` partitions of each table with most small files; ties by partition."""
-    from pyspark.sql.window import Window
-
     order = Window.partitionBy("table_id").orderBy(F.desc("small"), "partition_key")
     small = partition_stats(rel, th).where("small > 0").select("table_id", "partition_key", "small")
     return small.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def hotspot_lists(rel: Relations, th: Thresholds) -> DataFrame:
+    """``top_partitions``: the hot spots of each table as an array, most small files first."""
+    spot = F.struct("rank", F.col("partition_key").alias("partition"), F.col("small").alias("small_files"))
+    rows = hotspots(rel, th).groupBy("table_id").agg(F.sort_array(F.collect_list(spot)).alias("s"))
+    return rows.select("table_id", F.transform("s", lambda x: F.struct(x["partition"].alias("partition"), x["small_files"].alias("small_files"))).alias("top_partitions"))
+
+
+def orphan_samples(rel: Relations, k: int = 10) -> DataFrame:
+    """``sample_orphans``: the first ``k`` orphan paths of each table. Each task keeps ``k`` of a table at most."""
+    order = Window.partitionBy("table_id").orderBy("path")
+    first = orphan_paths(rel).withColumn("i", F.row_number().over(order)).where(F.col("i") <= k)
+    return first.groupBy("table_id").agg(F.sort_array(F.collect_list("path")).alias("sample_orphans"))
+
+
 _SOURCES = {
+    "hotspots": lambda rel, th, as_of: hotspot_lists(rel, th),
+    "samples": lambda rel, th, as_of: orphan_samples(rel),
     "files": lambda rel, th, as_of: file_stats(rel, th),
     "deletes": lambda rel, th, as_of: delete_stats(rel),
     "snapshots": lambda rel, th, as_of: snapshot_stats(rel),
@@ -190,13 +214,15 @@ _SOURCES = {
     "refs": lambda rel, th, as_of: ref_stats(rel, th, as_of),
 }
 #: Absent groups have no members, not unknown ones.
-_ZERO = {"files", "bytes", "rows", "small", "deletes", "snapshots", "specs", "orphans", "stored", "manifests", "schemas", "dangling", "stale", "healthy", "branches", "tags", "dropped", "added", "retyped", "partition_count", "partitions"}
+_ZERO = {"files", "bytes", "delete_bytes", "rows", "small", "deletes", "snapshots", "specs", "orphans", "stored", "manifests", "schemas", "dangling", "stale", "healthy", "branches", "tags", "dropped", "added", "retyped", "partition_count", "partitions"}
 
 
 def wide(rel: Relations, th: Thresholds, as_of: datetime, needs: Iterable[str]) -> DataFrame:
     """One row for each table of ``rel.tables``, with the aggregates named in ``needs`` beside it."""
-    out = rel.tables
-    for need in dict.fromkeys(needs):
+    out, needs = rel.tables, list(dict.fromkeys(needs))
+    if len({"files", "skew", "hotspots"} & set(needs)) > 1:
+        share_cube(rel, th)
+    for need in needs:
         out = out.join(_SOURCES[need](rel, th, as_of), "table_id", "left")
     floats = {"hot_partition", "first_ts", "last_ts"}
     keys = set(rel.tables.columns)

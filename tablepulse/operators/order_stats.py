@@ -8,6 +8,8 @@ that holds a third of all rows is a few thousand bucket counts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,8 +31,10 @@ def order_stats(rows: DataFrame, keys: list[str], value: str, percents: dict[str
     buckets = buckets.withColumn("__below", F.sum("__n").over(running) - F.col("__n")).withColumn("__total", F.sum("__n").over(group))
     wanted = F.array(*(F.struct(F.lit(name).alias("name"), F.round(F.lit(p / 100.0) * (F.col("__total") - 1)).cast("long").alias("at")) for name, p in percents.items()))
     hits = buckets.withColumn("__w", F.filter(wanted, lambda w: (w["at"] >= F.col("__below")) & (w["at"] < F.col("__below") + F.col("__n")))).where(F.size("__w") > 0)
-    hits = hits.select(*keys, "__b", "__below", "__total", "__w")
+    hits = hits.select(*(F.col(k).alias(f"__of_{k}") for k in (*keys, "__b")), "__below", "__total", "__w")
+    # null-safe: a plain join would filter nulls out below the counts on one side only, and they would be made twice
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in (*keys, "__b")))
     inside = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = counts.join(hits, [*keys, "__b"]).withColumn("__up", F.col("__below") + F.sum("__n").over(inside))
+    near = counts.join(hits, same).withColumn("__up", F.col("__below") + F.sum("__n").over(inside))
     found = lambda name: F.min(F.when(F.exists("__w", lambda w: (w["name"] == name) & (w["at"] < F.col("__up"))), F.col("__v")))
     return near.groupBy(*keys).agg(F.first("__total").alias("n"), *(found(name).alias(name) for name in percents))

@@ -28,19 +28,23 @@ def parse_interval(text: str) -> int:
     return int(number) * {"s": 1, "m": 60, "h": 3600, "d": 86400}[unit]
 
 
+#: The order of a table's rows: by time, and rows of one time by what they say.
+_ORDER = ("checked_at", "severity", "finding_count", "finding_ids")
+
+
 def latest_report(history: DataFrame, table_name: str) -> DataFrame:
-    return history.where(F.col("table_name") == table_name).orderBy(F.desc("checked_at")).limit(1)
+    return recent(history, table_name, 1)
 
 
 def recent(history: DataFrame, table_name: str, n: int) -> DataFrame:
     """The last ``n`` rows of one table, newest first."""
-    return history.where(F.col("table_name") == table_name).orderBy(F.desc("checked_at")).limit(n)
+    return history.where(F.col("table_name") == table_name).orderBy(*map(F.desc, _ORDER)).limit(n)
 
 
 def recent_alerts(alerts: DataFrame, n: int, table_name: str | None = None) -> DataFrame:
     if table_name is not None:
         alerts = alerts.where(F.col("table_name") == table_name)
-    return alerts.orderBy(F.desc("alerted_at")).limit(n)
+    return alerts.orderBy(F.desc("alerted_at"), "table_name", "message").limit(n)
 
 
 def all_latest(history: DataFrame) -> DataFrame:
@@ -56,7 +60,7 @@ def trends(history: DataFrame, as_of: datetime, days: int) -> DataFrame:
     Findings of the older half (the first half of the rows, rounded down) and of the newer are averaged.
     """
     names = history.select("table_name").distinct()
-    order = Window.partitionBy("table_name").orderBy("checked_at")
+    order = Window.partitionBy("table_name").orderBy(*_ORDER)
     rows = history.where(F.col("checked_at") >= F.lit(as_of - timedelta(days=days)))
     rows = rows.withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("table_name")))
     rows = rows.withColumn("moved", F.col("severity") != F.lag("severity").over(order)).withColumn("half", F.floor(F.col("n") / 2))
@@ -86,7 +90,8 @@ def _changes(previous: Column, before: Column, now: Column) -> tuple[Column, Col
 def compare(rows: DataFrame) -> DataFrame:
     """Alerts from rows that have previous_severity and previous_ids beside the row's own (null: no previous).
 
-    New and resolved findings and a changed severity are reported; a first row only if it does not pass.
+    New and resolved findings and a changed severity are reported; a first row only if it does not pass, and then by
+    the number of its findings, so that the cooldown's key does not depend on which they are.
     """
     known = F.col("previous_severity").isNotNull()
     new, gone = _changes(known, F.coalesce("previous_ids", F.array().cast("array<string>")), F.col("finding_ids"))
@@ -95,25 +100,26 @@ def compare(rows: DataFrame) -> DataFrame:
     fires = F.when(known, (F.size("new_findings") > 0) | (F.size("resolved_findings") > 0) | moved).otherwise(F.col("severity") != "PASS")
     part = lambda c, label: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, ", ")))
     before = F.coalesce("previous_severity", F.lit("unknown"))
-    message = F.concat_ws("; ", part("new_findings", "new: "), part("resolved_findings", "resolved: "), F.when(before != F.col("severity"), F.concat(before, F.lit(" -> "), "severity")))
+    first = F.format_string("first run: %d finding(s)", F.size("finding_ids"))
+    message = F.when(~known, first).otherwise(F.concat_ws("; ", part("new_findings", "new: "), part("resolved_findings", "resolved: "), F.when(before != F.col("severity"), F.concat(before, F.lit(" -> "), "severity"))))
     return rows.where(fires).select("table_name", before.alias("previous_severity"), F.col("severity").alias("current_severity"), message.alias("message"), "new_findings", "resolved_findings", F.col("checked_at").alias("alerted_at"))
 
 
 def detect_changes(history: DataFrame) -> DataFrame:
     """An alert for each row of the history that differs from its table's row before."""
-    order = Window.partitionBy("table_name").orderBy("checked_at")
+    order = Window.partitionBy("table_name").orderBy(*_ORDER)
     rows = history.withColumn("previous_severity", F.lag("severity").over(order)).withColumn("previous_ids", F.lag("finding_ids").over(order))
     return compare(rows)
 
 
 def detect_current(current: DataFrame, history: DataFrame) -> DataFrame:
     """Alerts of a new run (``current``) against the latest stored row of each table."""
-    last = history.groupBy("table_name").agg(F.max_by(F.struct(F.col("severity").alias("previous_severity"), F.col("finding_ids").alias("previous_ids")), "checked_at").alias("l")).select("table_name", "l.*")
+    last = history.groupBy("table_name").agg(F.max_by(F.struct(F.col("severity").alias("previous_severity"), F.col("finding_ids").alias("previous_ids")), F.struct(*_ORDER)).alias("l")).select("table_name", "l.*")
     return compare(current.join(last, "table_name", "left"))
 
 
 def cooldown(alerts: DataFrame, seconds: int = COOLDOWN_SECONDS) -> DataFrame:
-    """Alerts without those whose (table, message) fired less than ``seconds`` ago.
+    """Alerts without those whose (table, message) fired ``seconds`` ago or less.
 
     What is suppressed does not start the time anew, so this is a fold in the order of time. Rows are sorted by
     key on disk and streamed; one row of state is held, however long a key's history is.
@@ -124,7 +130,7 @@ def cooldown(alerts: DataFrame, seconds: int = COOLDOWN_SECONDS) -> DataFrame:
         for b in batches:
             keep = []
             for k, at in zip(zip(b["table_name"], b["message"]), b["alerted_at"]):
-                fire = k != key or (at - fired).total_seconds() >= seconds
+                fire = k != key or (at - fired).total_seconds() > seconds
                 if fire:
                     key, fired = k, at
                 keep.append(fire)
@@ -135,8 +141,8 @@ def cooldown(alerts: DataFrame, seconds: int = COOLDOWN_SECONDS) -> DataFrame:
 
 
 def suppress(alerts: DataFrame, stored: DataFrame, as_of: datetime, seconds: int = COOLDOWN_SECONDS) -> DataFrame:
-    """``alerts`` of one run without those stored with the same message in the last ``seconds``."""
-    hot = stored.where(F.col("alerted_at") > F.lit(as_of - timedelta(seconds=seconds))).select("table_name", "message").distinct()
+    """``alerts`` of one run without those stored with the same message ``seconds`` ago or less."""
+    hot = stored.where(F.col("alerted_at") >= F.lit(as_of - timedelta(seconds=seconds))).select("table_name", "message").distinct()
     return alerts.join(hot, ["table_name", "message"], "left_anti").select(*alerts.columns)
 
 

@@ -5,7 +5,9 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,16 +83,19 @@ def with_views(*names: str) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One relation. Only the tables that its statement names are opened."""
+    statement = f"{with_views(name)} select * from {name}"
     for base in BASE:
-        rows = spark.read.parquet(f"{sf_dir}/{base}.parquet")
-        local = {c: F.col(c).cast("timestamp") for c, t in rows.dtypes if t == "timestamp_ntz"}
-        rows.withColumns(local).createOrReplaceTempView(base)
-    return spark.sql(f"{with_views(name)} select * from {name}")
+        if re.search(rf"\b{base}\b", statement):
+            rows = spark.read.parquet(f"{sf_dir}/{base}.parquet")
+            local = {c: F.col(c).cast("timestamp") for c, t in rows.dtypes if t == "timestamp_ntz"}
+            rows.withColumns(local).createOrReplaceTempView(base)
+    return spark.sql(statement)
 
 
 def relations(spark: SparkSession, sf_dir: str) -> Relations:
     names = ("tables", "data_files", "delete_files", "storage_paths", "snapshots", "refs", "manifests", "partition_specs", "schema_fields")
-    return Relations.of(spark, **{n: view(spark, sf_dir, n) for n in names})
+    return Relations.of(spark, **{n: partial(view, spark, sf_dir, n) for n in names})
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

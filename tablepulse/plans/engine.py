@@ -12,6 +12,7 @@ from ..config import Thresholds
 from ..functions.expressions import severity_name
 from ..model import Relations
 from ..operators import aggregates
+from ..operators.advice import advice
 from ..operators.checks import REGISTRY, Check
 
 
@@ -27,22 +28,38 @@ def check(rel: Relations, check_id: str, th: Thresholds, as_of: datetime) -> Dat
     return aggregates.wide(rel, th, as_of, c.needs).select("table_id", "table_name", severity_name(rank).alias("severity"), *(v.alias(k) for k, v in details.items()))
 
 
-def findings(rel: Relations, th: Thresholds, as_of: datetime, ids: Iterable[str] | None = None) -> DataFrame:
-    """(table_id, table_name, check_id, check_name, severity_rank, severity, details): a row per table and check.
+#: Lists that go into the details of findings only: what they need, and the columns.
+_LISTS = {"small_files": ("hotspots", ("top_partitions",)), "orphan_files": ("samples", ("sample_orphans",))}
+_TOLD = ("impact", "fix_suggestion", "fix_command", "estimated_savings")
 
-    Every aggregate is joined once for all checks that read it; details are JSON.
+
+def findings(rel: Relations, th: Thresholds, as_of: datetime, ids: Iterable[str] | None = None, told: bool = True) -> DataFrame:
+    """(table_id, table_name, check_id, check_name, severity_rank, severity, details, impact, fix_suggestion,
+    fix_command, estimated_savings): a row per table and check.
+
+    Every aggregate is joined once for all checks that read it; details are JSON. The last four are null where a
+    check passes. Without ``told`` there are no details and none of the last four.
     """
     checks = select_checks(ids)
-    empty = "table_id string, table_name string, check_id string, check_name string, severity_rank int, severity string, details string"
+    columns = ["table_id", "table_name", "check_id", "check_name", "severity_rank", "severity", *(("details", *_TOLD) if told else ())]
     if not checks:
-        return rel.tables.sparkSession.createDataFrame([], empty)
-    frame = aggregates.wide(rel, th, as_of, [n for c in checks for n in c.needs])
+        return rel.tables.sparkSession.createDataFrame([], ", ".join(f"{c} {'int' if c == 'severity_rank' else 'string'}" for c in columns))
+    lists = {c.id: _LISTS[c.id] for c in checks if told and c.id in _LISTS}
+    frame = aggregates.wide(rel, th, as_of, [n for c in checks for n in c.needs] + [need for need, _ in lists.values()])
+    if told and any(c.id == "partition_skew" for c in checks):
+        fields = rel.partition_fields.groupBy("table_id", "spec_id").agg(F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("fields"))
+        own = fields.select("table_id", F.col("spec_id").alias("default_spec_id"), F.transform("fields", lambda f: f["name"]).alias("partition_columns"))
+        frame = frame.join(own, ["table_id", "default_spec_id"], "left")
     rows = []
     for c in checks:
         rank, details = c.measure(th, as_of)
-        rows.append(F.struct(F.lit(c.id).alias("check_id"), F.lit(c.name).alias("check_name"), rank.cast("int").alias("severity_rank"), F.to_json(F.struct(*(v.alias(k) for k, v in details.items()))).alias("details")))
+        row = {"check_id": F.lit(c.id), "check_name": F.lit(c.name), "severity_rank": rank.cast("int")}
+        if told:
+            more = {k: F.col(k) for k in (lists[c.id][1] if c.id in lists else ())}
+            row |= {"details": F.to_json(F.struct(*(v.alias(k) for k, v in (details | more).items()))), **advice(c.id, th, as_of, details).columns(rank)}
+        rows.append(F.struct(*(v.alias(k) for k, v in row.items())))
     out = frame.select("table_id", "table_name", F.explode(F.array(*rows)).alias("f")).select("table_id", "table_name", "f.*")
-    return out.select("table_id", "table_name", "check_id", "check_name", "severity_rank", severity_name(F.col("severity_rank")).alias("severity"), "details")
+    return out.withColumn("severity", severity_name(F.col("severity_rank"))).select(*columns)
 
 
 def overall(found: DataFrame) -> DataFrame:
@@ -53,7 +70,7 @@ def overall(found: DataFrame) -> DataFrame:
 
 def statuses(rel: Relations, th: Thresholds, as_of: datetime, ids: Iterable[str] | None = None) -> DataFrame:
     """``overall`` for every table, also where no check was chosen: then it passes."""
-    found = overall(findings(rel, th, as_of, ids)).drop("table_name")
+    found = overall(findings(rel, th, as_of, ids, told=False)).drop("table_name")
     out = rel.tables.select("table_id", "table_name").join(found, "table_id", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("severity_rank", "pass_count", "warning_count", "critical_count")}).withColumn("severity", F.coalesce("severity", F.lit("PASS")))
 

@@ -241,14 +241,14 @@ _W = _WIDE.rstrip().rstrip(",") + "\n"
 _HISTORY = with_views("check_history") + """,
 h as (select table_id::varchar as table_name, severity, finding_count::bigint as finding_count, checked_at,
   list_filter([case when f_small_files = 1 then 'small_files' end, case when f_snapshot_bloat = 1 then 'snapshot_bloat' end, case when f_freshness = 1 then 'freshness' end], lambda x: x is not null) as ids from check_history),
-lagged as (select *, lag(severity) over o as ps, lag(ids) over o as pi from h window o as (partition by table_name order by checked_at)),
+lagged as (select *, lag(severity) over o as ps, lag(ids) over o as pi from h window o as (partition by table_name order by checked_at, severity, finding_count, ids)),
 diff as (select *, coalesce(ps, 'unknown') as was, list_sort(list_filter(ids, lambda x: not list_contains(coalesce(pi, []), x))) as new, list_sort(list_filter(coalesce(pi, []), lambda x: not list_contains(ids, x))) as gone from lagged),
-alerts as (select table_name, was as previous_severity, severity as current_severity, concat_ws('; ', case when len(new) > 0 then concat('new: ', array_to_string(new, ', ')) end, case when len(gone) > 0 then concat('resolved: ', array_to_string(gone, ', ')) end, case when was <> severity then concat(was, ' -> ', severity) end) as message, checked_at as alerted_at
+alerts as (select table_name, was as previous_severity, severity as current_severity, case when ps is null then concat('first run: ', len(ids), ' finding(s)') else concat_ws('; ', case when len(new) > 0 then concat('new: ', array_to_string(new, ', ')) end, case when len(gone) > 0 then concat('resolved: ', array_to_string(gone, ', ')) end, case when was <> severity then concat(was, ' -> ', severity) end) end as message, checked_at as alerted_at
   from diff where case when ps is null then severity <> 'PASS' else len(new) > 0 or len(gone) > 0 or ps <> severity end)
 """
 _TREND = """,
 named as (select distinct table_name from h),
-win as (select *, row_number() over (partition by table_name order by checked_at) as i, count(*) over (partition by table_name) as n, lag(severity) over (partition by table_name order by checked_at) as before from h where checked_at >= timestamp '2024-01-29 00:00:00'),
+win as (select *, row_number() over (partition by table_name order by checked_at, severity, finding_count, ids) as i, count(*) over (partition by table_name) as n, lag(severity) over (partition by table_name order by checked_at, severity, finding_count, ids) as before from h where checked_at >= timestamp '2024-01-29 00:00:00'),
 agg as (select table_name, max(n) as checks, count(*) filter (before <> severity) as transitions, avg(finding_count) as avg_findings, avg(finding_count) filter (i <= n // 2) as older, avg(finding_count) filter (i > n // 2) as newer,
   arg_min(severity, i) as first_severity, arg_max(severity, i) as last_severity, arg_min(finding_count, i) as first_findings, arg_max(finding_count, i) as last_findings from win group by table_name)
 select table_name, coalesce(checks, 0) as checks, coalesce(transitions, 0) as transitions, avg_findings, first_severity, last_severity, first_findings, last_findings,
@@ -257,7 +257,7 @@ from named left join agg using (table_name)"""
 _COOLED = """,
 numbered as (select *, row_number() over (partition by table_name, message order by alerted_at) as k from alerts),
 fired as (select table_name, message, k, alerted_at as last, previous_severity, current_severity from numbered where k = 1
-  union all select n.table_name, n.message, n.k, n.alerted_at, n.previous_severity, n.current_severity from (select f.*, (select min(k) from numbered m where m.table_name = f.table_name and m.message = f.message and m.alerted_at >= f.last + interval 7 day) as nk from fired f) f
+  union all select n.table_name, n.message, n.k, n.alerted_at, n.previous_severity, n.current_severity from (select f.*, (select min(k) from numbered m where m.table_name = f.table_name and m.message = f.message and m.alerted_at > f.last + interval 7 day) as nk from fired f) f
   join numbered n on n.table_name = f.table_name and n.message = f.message and n.k = f.nk)
 select table_name, previous_severity, current_severity, message, last as alerted_at from fired"""
 
@@ -290,11 +290,11 @@ def oracle_sql() -> dict[str, str]:
         "catalog_summary": f"{_FINDINGS} select table_name, severity, critical_count, warning_count from status",
         "parse_metadata_json": f"{_W} select table_id::varchar as table_id, table_name, format_version, declared_target_bytes, default_spec_id, partition_field_count, sort_field_count, metadata_size_bytes from w",
         "parse_snapshots": f"{_W} select table_id::varchar as table_id, snapshot_id, 'append' as operation from snapshots",
-        "latest_report": f"{_HISTORY} {latest} where table_name = '7' order by checked_at desc limit 1",
-        "history": f"{_HISTORY} {latest} where table_name = '7' order by checked_at desc limit 20",
+        "latest_report": f"{_HISTORY} {latest} where table_name = '7' order by checked_at desc, severity desc, finding_count desc, ids desc limit 1",
+        "history": f"{_HISTORY} {latest} where table_name = '7' order by checked_at desc, severity desc, finding_count desc, ids desc limit 20",
         "all_latest": f"{_HISTORY} {latest} where (table_name, checked_at) in (select table_name, max(checked_at) from h group by 1)",
         "trend": _HISTORY + _TREND,
         "detect_changes": f"{_HISTORY} select * from alerts",
-        "alerts_recent": f"{_HISTORY} select * from alerts where table_name = '7' order by alerted_at desc limit 10",
+        "alerts_recent": f"{_HISTORY} select * from alerts where table_name = '7' order by alerted_at desc, table_name, message limit 10",
         "alert_cooldown": _HISTORY.replace("with ", "with recursive ", 1) + _COOLED,
     }

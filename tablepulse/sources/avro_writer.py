@@ -92,24 +92,24 @@ def entry(path, size, rows, status=1, content=0, partition=None, **more):
     return {"status": status, "snapshot_id": 1, "data_file": {"content": content, "file_path": path, "file_format": "PARQUET", "partition": partition or {}, "record_count": rows, "file_size_in_bytes": size, **more}}
 
 
-def write_table(folder, files, snapshots=None, schemas=None, extra=(), properties=None, codec="null", spec=()):
+def write_table(folder, files, snapshots=None, schemas=None, extra=(), properties=None, codec="null", spec=(), top="s3://bucket/x"):
     """A table below ``folder``; ``files`` are manifest entries, ``extra`` names of unreferenced data files."""
     (folder / "metadata").mkdir(parents=True)
     (folder / "data").mkdir()
     data = container(MANIFEST, files, codec)
     (folder / "metadata/m1.avro").write_bytes(data)
-    listed = {"manifest_path": "s3://bucket/x/metadata/m1.avro", "manifest_length": len(data), "partition_spec_id": 0, "content": 0, "added_snapshot_id": 1, "added_files_count": len(files)}
+    listed = {"manifest_path": f"{top}/metadata/m1.avro", "manifest_length": len(data), "partition_spec_id": 0, "content": 0, "added_snapshot_id": 1, "added_files_count": len(files)}
     (folder / "metadata/snap-1.avro").write_bytes(container(LIST, [listed], codec))
     snapshots = snapshots or [(1, 1_700_000_000_000)]
     schemas = schemas or [[("id", "long"), ("name", "string")]]
     doc = {
         "format-version": 2,
-        "location": "s3://bucket/x",
+        "location": top,
         "current-snapshot-id": snapshots[0][0],
         "properties": properties or {},
         "schemas": [{"schema-id": k, "fields": [{"id": i + 1, "name": n, "type": t, "required": False} for i, (n, t) in enumerate(s)]} for k, s in enumerate(schemas)],
         "partition-specs": [{"spec-id": 0, "fields": [{"source-id": 1, "field-id": 1000, "name": n, "transform": "identity"} for n in spec]}],
-        "snapshots": [{"snapshot-id": i, "timestamp-ms": t, "summary": {"operation": "append"}, "manifest-list": "s3://bucket/x/metadata/snap-1.avro"} for i, t in snapshots],
+        "snapshots": [{"snapshot-id": i, "timestamp-ms": t, "summary": {"operation": "append"}, "manifest-list": f"{top}/metadata/snap-1.avro"} for i, t in snapshots],
         "refs": {"main": {"snapshot-id": snapshots[0][0], "type": "branch"}},
     }
     (folder / "metadata/v1.metadata.json").write_text(json.dumps(doc))

@@ -55,7 +55,7 @@ class Tools:
         try:
             status, summary = _rows(engine.overall(found)), _rows(engine.summary(rel))
             rest = {"severity": "PASS", "pass_count": 0, "warning_count": 0, "critical_count": 0}
-            return {"table_name": table, "summary": summary[0], "findings": _rows(found.drop("table_id", "table_name")), "overall": {k: v for k, v in (status[0] if status else rest).items() if k in rest}, "generated_at": self.as_of.isoformat()}
+            return {"table_name": table, "summary": summary[0], "unreadable": _rows(rel.unreadable.drop("table_id")), "findings": _rows(found.drop("table_id", "table_name")), "overall": {k: v for k, v in (status[0] if status else rest).items() if k in rest}, "generated_at": self.as_of.isoformat()}
         finally:
             found.unpersist()
 
@@ -67,7 +67,8 @@ class Tools:
         bad = self.spark.createDataFrame([(t,) for t in failed], "table_name string")
         tables = _rows(fleet.catalog_summary(status, bad))
         count = lambda s: sum(t["severity"] == s for t in tables)
-        return {"total": len(names), "critical": count("CRITICAL"), "warning": count("WARNING"), "healthy": count("PASS"), "errors": count("ERROR"), "tables": tables}
+        unreadable = rel.unreadable.groupBy("table_id").count().collect()  # a row per table
+        return {"total": len(names), "unreadable_files": sum(r["count"] for r in unreadable), "critical": count("CRITICAL"), "warning": count("WARNING"), "healthy": count("PASS"), "errors": count("ERROR"), "tables": tables}
 
     @_guarded
     def check_fleet(self, namespace: str | None = None, dormant_days: int = fleet.DORMANT_DAYS) -> dict:

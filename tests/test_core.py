@@ -196,6 +196,12 @@ def test_changes_and_cooldown(spark):
     assert alerts == ["new: a; PASS -> WARNING", "new: b; resolved: a", "new: a; resolved: b", "new: b; resolved: a", "new: a; resolved: b"]
     cooled = watch.cooldown(watch.detect_changes(h), 40 * 60)
     assert sorted((r["alerted_at"] - NOW).seconds // 60 for r in cooled.collect()) == [10, 30, 40, 95]
+    # an alert of exactly the cooldown's age still holds the next one back
+    assert sorted((r["alerted_at"] - NOW).seconds // 60 for r in watch.cooldown(watch.detect_changes(h), 35 * 60).collect()) == [10, 30, 40, 95]
+    stored = watch.detect_changes(h).where("message like 'new: b%'")
+    assert watch.suppress(stored, stored, NOW + timedelta(minutes=65 + 35), 35 * 60).count() == 0
+    first = history(spark, [(0, "WARNING", 2, ["b", "a"]), (0, "CRITICAL", 2, ["a"])])
+    assert [r["message"] for r in watch.detect_changes(first).collect()] == ["first run: 1 finding(s)", "new: b; CRITICAL -> WARNING"]
 
 
 @pytest.mark.parametrize(("text", "want"), [("30s", 30), ("15m", 900), ("6h", 21600), ("1d", 86400)])
@@ -223,6 +229,13 @@ def test_demo_and_rendering(spark):
     assert found["orphan_files"]["severity"] == "WARNING"
     assert json.loads(found["orphan_files"]["details"])["orphan_count"] == 3
     assert found["small_files"]["severity"] == "CRITICAL"
+    assert len(json.loads(found["orphan_files"]["details"])["sample_orphans"]) == 3
+    assert json.loads(found["small_files"]["details"])["top_partitions"][0]["small_files"] > 0
+    for f in found.values():
+        told = [f[c] for c in ("impact", "fix_suggestion", "fix_command", "estimated_savings")]
+        assert (told[0] and told[1]) if f["severity_rank"] else told == [None] * 4
+    assert found["small_files"]["fix_command"] == "CALL catalog.system.rewrite_data_files(table => 'demo.events', strategy => 'binpack')"
+    assert "zorder(" in found["partition_skew"]["fix_command"] if found["partition_skew"]["severity_rank"] else True
     report = {"table_name": "demo.events", "overall": {"severity": "CRITICAL"}, "summary": engine.summary(rel).first().asDict(), "findings": list(found.values())}
     assert "::error title=demo.events small_files::" in render.github(report)
     assert "75 files" in render.pretty(report)

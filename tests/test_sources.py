@@ -1,19 +1,22 @@
 """Sources end to end: real files in, findings out."""
 
+import io
 import json
 from datetime import datetime, timezone
 
 import pytest
-from avro_writer import MANIFEST, container, entry, write_table
 
 from tablepulse import cli
 from tablepulse.config import Catalog as Settings
 from tablepulse.config import Config, Watch
 from tablepulse.sources import metadata_json
 from tablepulse.sources.avro import read_container
-from tablepulse.sources.catalog import FilesystemCatalog, GlueCatalog, RestCatalog, TableNotFound, from_config, resolve_path
+from tablepulse.sources.avro_writer import MANIFEST, container, entry, write_table
+from tablepulse.operators import aggregates
+from tablepulse.server import serve
+from tablepulse.sources.catalog import Document, FilesystemCatalog, GlueCatalog, RestCatalog, TableNotFound, from_config, resolve_path
 from tablepulse.sources.manifests import manifest_rows
-from tablepulse.sources.reader import load
+from tablepulse.sources.reader import load, relations_of
 from tablepulse.sources.store import fetch_bytes, hadoop_location
 from tablepulse.tools import Tools
 
@@ -115,6 +118,53 @@ def test_end_to_end(spark, warehouse):
     assert tools.get_cost_report("db.small")["total_monthly_cost"] > 0
 
 
+def test_tables_behind_a_file_system_that_only_spark_reads(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.lake.link./x", f"file://{tmp_path}/t")
+    files = [entry(f"viewfs://lake/x/data/f{i}.parquet", 1 << 20, 10) for i in range(7)] + [entry("viewfs://lake/x/data/d.parquet", 5, 1, content=1)]
+    write_table(tmp_path / "t", files, extra=["orphan.parquet"], top="viewfs://lake/x")
+    text = (tmp_path / "t/metadata/v1.metadata.json").read_text()
+    good, listless = Document("a.t", text), Document("a.bad", text.replace("snap-1.avro", "gone.avro"))
+    failed = {}
+    rel = relations_of(spark, [good, listless, Document("a.none", text.replace("viewfs://lake/x", "nowhere://x"))], failed)
+    assert set(failed) == {"a.bad", "a.none"} and "manifest list" in failed["a.bad"]
+    assert [r["table_id"] for r in rel.tables.collect()] == ["a.t"]
+    assert (rel.data_files.count(), rel.delete_files.count(), rel.unreadable.count()) == (7, 1, 0)
+    assert [r["path"] for r in aggregates.orphan_paths(rel).collect()] == ["viewfs://lake/x/data/orphan.parquet"]
+    (tmp_path / "t/metadata/m1.avro").write_bytes(b"not a manifest")
+    rel = relations_of(spark, [good])
+    assert rel.data_files.count() == 0 and [r["path"] for r in rel.unreadable.collect()] == ["viewfs://lake/x/metadata/m1.avro"]
+    (tmp_path / "t/metadata/m1.avro").unlink()
+    rel = relations_of(spark, [good])
+    assert "not found" in rel.unreadable.first()["error"]
+
+    class Catalog:
+        def document(self, table_id):
+            return {"a.t": good, "a.bad": listless}[table_id]
+
+        def list_tables(self, namespace=None):
+            return ["a.t", "a.bad"]
+
+    report = Tools(spark, Config(), Catalog(), NOW).check_catalog()
+    assert report["errors"] == 1 and report["unreadable_files"] == 1
+    assert {t["table_name"]: t["severity"] for t in report["tables"]}["a.bad"] == "ERROR"
+
+
+def test_the_tools_over_lines(spark, warehouse):
+    tools = Tools(spark, Config(catalog=Settings("filesystem", str(warehouse))), as_of=NOW)
+    call = lambda i, name, **arguments: json.dumps({"jsonrpc": "2.0", "id": i, "method": "tools/call", "params": {"name": name, "arguments": arguments}})
+    lines = [json.dumps({"jsonrpc": "2.0", "id": 0, "method": "initialize", "params": {}}), json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), json.dumps({"jsonrpc": "2.0", "id": 1, "method": "tools/list"}), "", "nonsense", call(2, "get_fix", table="db.small", finding="small_files"), call(3, "check_table", table="db.nothing"), call(4, "get_fix", table="db.small"), call(5, "no_tool"), json.dumps({"jsonrpc": "2.0", "id": 6, "method": "other"})]
+    sink = io.StringIO()
+    serve(tools, io.StringIO("\n".join(lines)), sink)
+    got = {r["id"]: r for r in map(json.loads, sink.getvalue().splitlines())}
+    assert set(got) == {0, 1, 2, 3, 4, 5, 6, None}
+    listed = {t["name"]: t["inputSchema"] for t in got[1]["result"]["tools"]}
+    assert set(listed) == {"check_table", "check_catalog", "check_fleet", "get_fix", "dry_run_fix", "get_cost_report", "watch_status"}
+    assert listed["check_table"]["required"] == ["table"] and listed["check_table"]["properties"]["checks"] == {"type": "array", "items": {"type": "string"}}
+    assert "CALL catalog.system.rewrite_data_files" in got[2]["result"]["content"][0]["text"] and not got[2]["result"]["isError"]
+    assert got[3]["result"]["isError"] and got[4]["error"]["code"] == got[5]["error"]["code"] == -32602 and got[6]["error"]["code"] == -32601
+
+
 def test_metadata_defaults(spark):
     v1 = {"format-version": 1, "location": "l", "schema": {"fields": [{"id": 1, "name": "a", "type": {"type": "list", "element": "int"}, "required": True}]}, "partition-spec": [{"source-id": 1, "name": "a", "transform": "identity"}], "properties": {metadata_json.TARGET_SIZE: "-5"}}
     df = spark.createDataFrame([("t", "t", json.dumps(v1), None)], "table_id string, table_name string, json string, metadata_size_bytes long")
@@ -181,4 +231,4 @@ def test_alert_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert store.history.count() == 3
-    assert [r["message"] for r in store.alerts.orderBy("alerted_at").collect()] == ["new: a; unknown -> WARNING", "new: b", "resolved: a, b; WARNING -> PASS"]
+    assert [r["message"] for r in store.alerts.orderBy("alerted_at").collect()] == ["first run: 1 finding(s)", "new: b", "resolved: a, b; WARNING -> PASS"]
