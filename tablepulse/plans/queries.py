@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,12 @@ from ..operators.checks import REGISTRY
 from . import engine
 from ..sources import metadata_json
 from ..sources.demo import demo_relations
+from . import written
 from .derived import AS_OF, THRESHOLDS, documents, history, relations, with_views
 
 WATCH_AS_OF, WATCH_DAYS = datetime(2024, 1, 31), 2
+_DATA_FILE = ("file_path", "file_size_bytes", "record_count", "partition_key", "spec_id", "sort_order_id", "n_value_counts", "n_null_counts", "n_column_sizes")
+_DELETE_FILE = ("file_path", "file_size_bytes", "record_count", "delete_type")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -69,6 +73,25 @@ def _parsed(f: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
     return lambda spark, d: f(metadata_json.parse(documents(spark, d))).select(*columns)
 
 
+def _cycle(spark: SparkSession, d: str) -> DataFrame:
+    """What a watch cycle stores of a run."""
+    found = engine.findings(relations(spark, d), THRESHOLDS, AS_OF, told=False).withColumn("details", F.lit(None).cast("string"))
+    rows = watch.history_rows(engine.overall(found), found, AS_OF)
+    return rows.select("table_name", "severity", "finding_count", "critical_count", "warning_count", F.array_join("finding_ids", ",").alias("finding_ids"), "checked_at")
+
+
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    """A fleet report as one table of (part, name, value)."""
+    parts = fleet.fleet_report(relations(spark, d), THRESHOLDS, AS_OF, days=6)
+    columns = {"by_namespace": ("namespace", "table_count"), "by_severity": ("severity", "table_count"), "dormant": ("table_name", "days_since"), "unpartitioned": ("table_name", None), "format_v1": ("table_name", None), "top_offenders": ("table_name", "critical_count")}
+    rows = [parts[k].select(F.lit(k).alias("part"), F.col(name).alias("name"), (F.col(n) if n else F.lit(1)).cast("long").alias("value")) for k, (name, n) in columns.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _decoded(kind: str, *columns: str) -> Query:
+    return lambda spark, d: written.decoded(spark, d).where(F.col("kind") == kind).select("table_id", *columns)
+
+
 def _demo(spark: SparkSession, d: str) -> DataFrame:
     return engine.findings(demo_relations(spark, AS_OF), THRESHOLDS, AS_OF).select("check_id", "severity")
 
@@ -105,6 +128,11 @@ def queries() -> dict[str, Query]:
         "parse_metadata_json": _parsed(metadata_json.tables, "table_id", "table_name", "format_version", "declared_target_bytes", "default_spec_id", "partition_field_count", "sort_field_count", "metadata_size_bytes"),
         "parse_snapshots": _parsed(metadata_json.snapshots, "table_id", "snapshot_id", "operation"),
         "demo_source": _demo,
+        "parse_manifest": _decoded("data_files", *_DATA_FILE),
+        "parse_delete_files": _decoded("delete_files", *_DELETE_FILE),
+        "parse_manifest_list": lambda s, d: written.decoded_lists(s, d).select("table_id", "manifest_path", "manifest_length", "added_files_count", "deleted_files_count"),
+        "watch_cycle": _cycle,
+        "fleet_report": _report,
         "latest_report": _history(lambda h: watch.latest_report(h, "7").select("table_name", "severity", "finding_count", "checked_at")),
         "history": _history(lambda h: watch.recent(h, "7", 20).select("table_name", "severity", "finding_count", "checked_at")),
         "all_latest": _history(lambda h: watch.all_latest(h).select("table_name", "severity", "finding_count", "checked_at")),
@@ -237,6 +265,8 @@ def _fix_sql(k: str, dry: bool = False) -> str:
     return f"select table_id, table_name, '{k}' as finding_id, {'' if dry else command + ' as command, '}{columns} from w"
 
 
+#: What the checks say of the demo table, which is the same every time; all others pass.
+_DEMO = {k: "PASS" for k in REGISTRY} | {"small_files": "CRITICAL", "snapshot_bloat": "WARNING", "orphan_files": "WARNING", "partition_skew": "WARNING"}
 _W = _WIDE.rstrip().rstrip(",") + "\n"
 _HISTORY = with_views("check_history") + """,
 h as (select table_id::varchar as table_name, severity, finding_count::bigint as finding_count, checked_at,
@@ -290,6 +320,14 @@ def oracle_sql() -> dict[str, str]:
         "catalog_summary": f"{_FINDINGS} select table_name, severity, critical_count, warning_count from status",
         "parse_metadata_json": f"{_W} select table_id::varchar as table_id, table_name, format_version, declared_target_bytes, default_spec_id, partition_field_count, sort_field_count, metadata_size_bytes from w",
         "parse_snapshots": f"{_W} select table_id::varchar as table_id, snapshot_id, 'append' as operation from snapshots",
+        "demo_source": f"select * from (values {', '.join(f'({k!r}, {v!r})' for k, v in _DEMO.items())}) as t(check_id, severity)",
+        "parse_manifest": f"{_W} select table_id::varchar as table_id, {', '.join(_DATA_FILE)} from data_files",
+        "parse_delete_files": f"{_W} select table_id::varchar as table_id, {', '.join(_DELETE_FILE)} from delete_files",
+        "parse_manifest_list": f"{_W} select table_id::varchar as table_id, manifest_path, manifest_length, 3 as added_files_count, 0 as deleted_files_count from manifests",
+        "watch_cycle": f"{_FINDINGS} select table_name, severity, warning_count + critical_count as finding_count, critical_count, warning_count, coalesce(ids, '') as finding_ids, {_ASOF} as checked_at from status left join (select table_id, string_agg(check_id, ',' order by check_id) as ids from found where r > 0 group by table_id) using (table_id)",
+        "fleet_report": f"{_FINDINGS} select 'by_namespace' as part, {spaced} as name, count(*) as value from status group by 2 union all select 'by_severity', severity, count(*) from status group by 2"
+        f" union all select 'dormant', table_name, floor({_US.format('last_ts')} / 86400000000)::bigint from w where floor({_US.format('last_ts')} / 86400000000) >= 6 union all select 'unpartitioned', table_name, 1 from w where partition_field_count = 0"
+        " union all select 'format_v1', table_name, 1 from w where format_version = 1 union all select * from (select 'top_offenders', table_name, critical_count from status order by critical_count desc, warning_count desc, table_name limit 10)",
         "latest_report": f"{_HISTORY} {latest} where table_name = '7' order by checked_at desc, severity desc, finding_count desc, ids desc limit 1",
         "history": f"{_HISTORY} {latest} where table_name = '7' order by checked_at desc, severity desc, finding_count desc, ids desc limit 20",
         "all_latest": f"{_HISTORY} {latest} where (table_name, checked_at) in (select table_name, max(checked_at) from h group by 1)",

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..model import SCHEMAS, Relations
 from ..operators.checkpoint import checkpointed
+from ..shipping import ship
 from . import metadata_json
 from .catalog import Catalog, Document, resolve_path
 from .manifests import manifest_list_rows, manifest_rows
@@ -31,6 +32,7 @@ def _sources(files: DataFrame) -> DataFrame:
     """``files`` (table_id, path, folder, warehouse, ...) with ``content``, where Spark has to read it, and
     ``missing``: why that can't be. Paths of such files come to the driver: some 100 bytes for each manifest."""
     spark = files.sparkSession
+    ship(spark)
     place = F.udf(lambda path, folder, warehouse: resolve_path(path, folder, warehouse) if path else path)
     files = checkpointed(files.withColumn("path", place("path", "folder", "warehouse")))
     kind = F.lower(F.regexp_extract("path", "^([A-Za-z0-9+.-]+)://", 1))
@@ -45,7 +47,7 @@ def _sources(files: DataFrame) -> DataFrame:
     return files.join(names.join(content, "place", "left").select("path", "content", "missing"), "path", "left")
 
 
-def _decode(files: DataFrame, rows: Callable[[dict, bytes], Iterator[dict]], schema: str) -> DataFrame:
+def decode_files(files: DataFrame, rows: Callable[[dict, bytes], Iterator[dict]], schema: str) -> DataFrame:
     """``rows`` of the bytes of each file of ``_sources``. A file that can't be read gives one row with ``path`` and
     ``error``."""
     columns = [c.split()[0] for c in _split(schema)]
@@ -63,6 +65,7 @@ def _decode(files: DataFrame, rows: Callable[[dict, bytes], Iterator[dict]], sch
                 if got:
                     yield pd.DataFrame({c: pd.Series([r.get(c) for r in got], dtype=object) for c in columns})
 
+    ship(files.sparkSession)
     return checkpointed(files.mapInPandas(decode, schema))
 
 
@@ -78,7 +81,7 @@ def _split(schema: str) -> list[str]:
     return [*out, part.strip()]
 
 
-def _columns(*names: str) -> str:
+def columns_of(*names: str) -> str:
     """The columns of several relations as one list of columns."""
     found = dict(c.split(" ", 1) for n in names for c in _split(SCHEMAS[n]))
     return ", ".join(f"{k} {v}" for k, v in found.items())
@@ -93,7 +96,7 @@ def relations_of(spark: SparkSession, documents: Iterable[Document], failed: dic
     current = snapshots.join(tables.select("table_id", "current_snapshot_id"), "table_id")
     order = F.struct((F.col("snapshot_id") == F.col("current_snapshot_id")).alias("current"), "ts", "snapshot_id")
     lists = current.groupBy("table_id").agg(F.max_by("manifest_list", order).alias("path")).where("path is not null").join(rows.select("table_id", "folder", "warehouse"), "table_id")
-    entries = _decode(_sources(lists), lambda f, data: manifest_list_rows(data), _columns("manifests", "unreadable"))
+    entries = decode_files(_sources(lists), lambda f, data: manifest_list_rows(data), columns_of("manifests", "unreadable"))
     bad = {r["table_id"]: f"its manifest list can't be read: {r['error']}" for r in entries.where("error is not null").collect()}  # a row per table
     if bad:
         failed.update(bad)
@@ -101,7 +104,7 @@ def relations_of(spark: SparkSession, documents: Iterable[Document], failed: dic
     manifests = entries.select(*(c.split()[0] for c in _split(SCHEMAS["manifests"])))
     files = manifests.join(rows.select("table_id", "folder", "warehouse"), "table_id").select("table_id", F.col("manifest_path").alias("path"), "folder", "warehouse", "partition_spec_id")
     live = lambda f, data: ({"kind": kind, **r} for kind, r in manifest_rows(data, f["partition_spec_id"]))
-    found = _decode(_sources(files.repartition(F.col("path"))), live, "kind string, " + _columns("data_files", "delete_files", "unreadable"))
+    found = decode_files(_sources(files.repartition(F.col("path"))), live, "kind string, " + columns_of("data_files", "delete_files", "unreadable"))
     of = lambda name: found.where(F.col("kind") == name).select(*(c.split()[0] for c in _split(SCHEMAS[name])))
     stored, unlisted = storage_paths(spark, documents, tables)
     return Relations.of(
