@@ -28,7 +28,7 @@ from .bpe import default_path, encoder
 from .words import pieces
 
 #: Tokens in the examples that are packed together in a task.
-POOL_TOKENS = 4 << 20
+POOL_TOKENS = 1 << 20
 PIECES = "doc_id long, start long, length long, loss_tokens long, doc_tokens long, sequence_id long, offset long, segment int, padded_length long, ids binary"
 
 
@@ -129,7 +129,7 @@ def _task(batches: Iterator[pa.RecordBatch], limits: Limits, path: str, end_id:
             total = len(own)
             n_prompt = 0
             if prompt > 0:
-                size = sizes[own[:-1]]
+                size = sizes[own[: min(total - 1, prompt)]]  # an id is a byte at least
                 n_prompt = int(np.searchsorted(np.cumsum(size) - size, prompt))
             for start, n, loss in cut_document(total, n_prompt, limits):
                 item = (doc_id, start, n, loss, total, own[start : start + n].tobytes())
