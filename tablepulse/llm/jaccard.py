@@ -48,12 +48,12 @@ SHINGLE = 5
 #: Least similarity, in hundredths.
 PERCENT = 75
 #: Shingles of one range of hashes, about.
-RANGE_SHINGLES = 1 << 21
+RANGE_SHINGLES = 1 << 20
 #: Prefix shingles of more classes than this are not paired.
 PAIRED_CLASSES = 32
 #: Classes and shingles of a block.
 BLOCK_CLASSES = 1024
-BLOCK_SHINGLES = 4 << 20
+BLOCK_SHINGLES = 2 << 20
 #: Lengths l to choose from.
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 _SENT = "r int, batch long, docs boolean, data binary"
