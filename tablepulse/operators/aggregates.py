@@ -25,6 +25,23 @@ FIX_SMALL_BYTES = 8 << 20
 _COUNTS = ("files", "bytes", "rows", "small", "small_bytes", "fix_small", "fix_small_bytes", "with_stats", "with_values", "with_nulls", "without_stats", "without_counts_bytes")
 
 
+#: Aggregates that read files: by the cube, by sizes, by paths.
+_PASSES = {"files": "cube", "skew": "cube", "hotspots": "cube", "medians": "sizes", "orphans": "paths", "samples": "paths"}
+_FILE = ("table_id", "file_path", "file_size_bytes", "record_count", "partition_key", "spec_id", "sort_order_id", "n_value_counts", "n_null_counts", "n_column_sizes")
+
+
+def shared(rel: Relations, th: Thresholds, needs: Iterable[str]) -> Relations:
+    """``rel`` with what several of ``needs`` read worked out now: files where more than one pass goes over them
+    (unless the source has written them already), and the cube where more than one aggregate comes from it."""
+    needs = set(needs)
+    if len({_PASSES[n] for n in needs if n in _PASSES}) > 1 and not rel.memo.get("written"):
+        rel = rel.with_(data_files=checkpointed(rel.data_files.select(*_FILE)))
+        rel.memo["written"] = True
+    if sum(_PASSES.get(n) == "cube" for n in needs) > 1:
+        share_cube(rel, th)
+    return rel
+
+
 def share_cube(rel: Relations, th: Thresholds) -> None:
     """Works out the cube now; aggregates of ``rel`` with the same thresholds then read it."""
     if th.small_file_bytes not in rel.memo:
@@ -220,8 +237,7 @@ _ZERO = {"files", "bytes", "delete_bytes", "rows", "small", "deletes", "snapshot
 def wide(rel: Relations, th: Thresholds, as_of: datetime, needs: Iterable[str]) -> DataFrame:
     """One row for each table of ``rel.tables``, with the aggregates named in ``needs`` beside it."""
     out, needs = rel.tables, list(dict.fromkeys(needs))
-    if len({"files", "skew", "hotspots"} & set(needs)) > 1:
-        share_cube(rel, th)
+    rel = shared(rel, th, needs)
     for need in needs:
         out = out.join(_SOURCES[need](rel, th, as_of), "table_id", "left")
     floats = {"hot_partition", "first_ts", "last_ts"}

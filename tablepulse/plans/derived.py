@@ -82,14 +82,22 @@ def with_views(*names: str) -> str:
     return "with " + ",\n".join(f"{n} as ({sql})" for n, sql in VIEWS.items() if n in wanted)
 
 
+def _base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table of the star schema, opened once a session: its files are not expected to change."""
+    opened = spark.__dict__.setdefault("_tablepulse_bases", {})
+    if (sf_dir, name) not in opened:
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        local = {c: F.col(c).cast("timestamp") for c, t in rows.dtypes if t == "timestamp_ntz"}
+        opened[sf_dir, name] = rows.withColumns(local) if local else rows
+    return opened[sf_dir, name]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One relation. Only the tables that its statement names are opened."""
     statement = f"{with_views(name)} select * from {name}"
     for base in BASE:
         if re.search(rf"\b{base}\b", statement):
-            rows = spark.read.parquet(f"{sf_dir}/{base}.parquet")
-            local = {c: F.col(c).cast("timestamp") for c, t in rows.dtypes if t == "timestamp_ntz"}
-            rows.withColumns(local).createOrReplaceTempView(base)
+            _base(spark, sf_dir, base).createOrReplaceTempView(base)
     return spark.sql(statement)
 
 

@@ -14,6 +14,8 @@ def message(finding: dict) -> str:
     d = json.loads(finding["details"]) if isinstance(finding["details"], str) else finding["details"]
     parts = []
     for k, v in d.items():
+        if isinstance(v, (list, dict)):
+            continue
         if isinstance(v, float):
             v = f"{v:.1f}"
         elif isinstance(v, int) and ("bytes" in k):
@@ -32,7 +34,12 @@ def pretty(report: dict) -> str:
     s = report["summary"]
     head = f"{report['table_name']}  {report['overall']['severity']}"
     counts = f"{number_text(s['data_file_count'])} files, {bytes_text(s['total_size_bytes'])}, {number_text(s['total_record_count'])} rows, {s['snapshot_count']} snapshots"
-    lines = [head, counts, ""] + [f"{MARKS[f['severity']]} {message(f)}" for f in report["findings"]]
+    lines = [head, counts, ""]
+    for f in report["findings"]:
+        lines.append(f"{MARKS[f['severity']]} {message(f)}")
+        lines += [f"     {f[c]}" for c in ("fix_suggestion", "fix_command", "estimated_savings") if f.get(c)]
+    for u in report.get("unreadable") or []:
+        lines.append(f"{MARKS['ERROR']} {u['path']}: {u['error']}")
     width = max(map(len, lines))
     return "\n".join(["+" + "-" * (width + 2) + "+", *(f"| {x.ljust(width)} |" for x in lines), "+" + "-" * (width + 2) + "+"])
 

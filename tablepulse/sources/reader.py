@@ -107,7 +107,7 @@ def relations_of(spark: SparkSession, documents: Iterable[Document], failed: dic
     found = decode_files(_sources(files.repartition(F.col("path"))), live, "kind string, " + columns_of("data_files", "delete_files", "unreadable"))
     of = lambda name: found.where(F.col("kind") == name).select(*(c.split()[0] for c in _split(SCHEMAS[name])))
     stored, unlisted = storage_paths(spark, documents, tables)
-    return Relations.of(
+    rel = Relations.of(
         spark,
         tables=tables,
         schema_fields=lambda: metadata_json.schema_fields(parsed),
@@ -122,6 +122,8 @@ def relations_of(spark: SparkSession, documents: Iterable[Document], failed: dic
         storage_paths=stored,
         unreadable=found.where("error is not null").select("table_id", "path", "error").unionByName(spark.createDataFrame(unlisted, SCHEMAS["unreadable"])),
     )
+    rel.memo["written"] = True
+    return rel
 
 
 def storage_paths(spark: SparkSession, documents: Iterable[Document], tables: DataFrame) -> tuple[DataFrame, list[tuple]]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .config import Config
 from .operators import cost, fix, fleet, watch
 from .plans import engine
+from .render import message
 from .sources.catalog import Catalog, from_config
 from .sources.reader import load
 from .streaming.watching import Store
@@ -55,7 +56,7 @@ class Tools:
         try:
             status, summary = _rows(engine.overall(found)), _rows(engine.summary(rel))
             rest = {"severity": "PASS", "pass_count": 0, "warning_count": 0, "critical_count": 0}
-            return {"table_name": table, "summary": summary[0], "unreadable": _rows(rel.unreadable.drop("table_id")), "findings": _rows(found.drop("table_id", "table_name")), "overall": {k: v for k, v in (status[0] if status else rest).items() if k in rest}, "generated_at": self.as_of.isoformat()}
+            return {"table_name": table, "summary": summary[0], "unreadable": _rows(rel.unreadable.drop("table_id")), "findings": [f | {"message": message(f)} for f in _rows(found.drop("table_id", "table_name"))], "overall": {k: v for k, v in (status[0] if status else rest).items() if k in rest}, "generated_at": self.as_of.isoformat()}
         finally:
             found.unpersist()
 

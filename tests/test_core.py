@@ -238,6 +238,7 @@ def test_demo_and_rendering(spark):
     assert "zorder(" in found["partition_skew"]["fix_command"] if found["partition_skew"]["severity_rank"] else True
     report = {"table_name": "demo.events", "overall": {"severity": "CRITICAL"}, "summary": engine.summary(rel).first().asDict(), "findings": list(found.values())}
     assert "::error title=demo.events small_files::" in render.github(report)
-    assert "75 files" in render.pretty(report)
+    assert "75 files" in render.pretty(report) and "strategy => 'binpack'" in render.pretty(report)
+    assert "??" in render.pretty(report | {"unreadable": [{"path": "m.avro", "error": "gone"}]})
     assert json.loads(render.as_json(report))["table_name"] == "demo.events"
     assert "total per month" in render.costs("t", [{"category": "x", "monthly_cost": 1.0}])

@@ -103,7 +103,8 @@ def test_end_to_end(spark, warehouse):
     tools = Tools(spark, Config(catalog=Settings("filesystem", str(warehouse))), as_of=NOW)
     healthy = tools.check_table("db.healthy")
     assert {f["check_id"] for f in healthy["findings"] if f["severity"] != "PASS"} == {"stats_coverage"}
-    assert healthy["summary"]["total_record_count"] == 15_000_000
+    assert healthy["summary"]["total_record_count"] == 15_000_000 and healthy["unreadable"] == []
+    assert all(f["message"].startswith(f["check_name"]) for f in healthy["findings"])
     small = tools.check_table("db.small", ["small_files"])
     assert small["overall"]["severity"] == "CRITICAL"
     drift = json.loads(tools.check_table("db.drift", ["schema_history"])["findings"][0]["details"])
