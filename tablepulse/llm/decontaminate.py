@@ -33,6 +33,8 @@ from .words import MARKS, mix, pieces, word_hashes
 WINDOW = 10
 #: Words of the benchmark in one block, about: some 100 bytes each.
 BLOCK_WORDS = 1 << 20
+#: Bytes of texts in a shard, at least and at most: about as many words as the block has.
+SHARD_BYTES = (2 << 20, 8 << 20)
 #: (place in the shard, window) pairs that are turned into (document, item) pairs at a time.
 PAIRS = 1 << 20
 SPAN = "start:int,length:int,item_ids:array<string>,item_start:int,doc_start:int,match_length:int"
@@ -49,9 +51,13 @@ class Sequence:
         zero = np.flatnonzero(self.words == 0)
         self.end = zero[np.searchsorted(zero, np.arange(len(self.words)))]
         # sums of word * base ** place, modulo 2 ** 64: a run's sum, shifted to place 0, is its hash
-        with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(self.words), _BASE)]), dtype=np.uint64)
-            self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.words.astype(np.uint64)) * self.power[:-1], dtype=np.uint64)])
+        self.power = np.full(len(self.words) + 1, _BASE)
+        self.power[0] = 1
+        np.cumprod(self.power, out=self.power)
+        self.total = np.zeros(len(self.words) + 1, np.uint64)
+        part = mix(self.words.view(np.uint64))
+        part *= self.power[:-1]
+        np.cumsum(part, out=self.total[1:])
 
     def room(self, at: np.ndarray) -> np.ndarray:
         """Words from each place to the end of its suffix."""
@@ -288,7 +294,8 @@ def _pass(base: DataFrame, data: bytes, window: int) -> DataFrame:
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pickle.loads(sent.value)
-        for batch in pieces(batches, "text"):
+        most = min(SHARD_BYTES[1], max(SHARD_BYTES[0], 16 * len(block.place)))
+        for batch in pieces(batches, "text", most):
             h, at = word_hashes(batch["text"], MARKS)
             found = Found(len(h))
             found.add(block, h, at)

@@ -103,12 +103,15 @@ def _send_batch(batch: pa.RecordBatch, key: int, bits: int, size: int) -> pa.Rec
             of[i] = classes.setdefault((int(n[i]), *sums[i].tolist()), len(classes))
             if of[i] == len(sets):
                 sets.append(s)
+    del h
     every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     width = _width(bits)
     every >>= np.uint64(64 - bits - width)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) if sets else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets]) if sets else np.zeros(0, np.int32)
+    del sets
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
+    del order
     first = np.flatnonzero(np.diff(every, prepend=every[:1] + np.uint64(1)) != 0) if len(every) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(every)))
     alone = count == 1
