@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablepulse.llm import attention, jaccard, lm, packing, sharding, warc
+from tablepulse.llm import attention, jaccard, lm, packing, sharding, url_filters, warc
 from tablepulse.llm import quality as quality_module
 from tablepulse.llm.bpe import default_path, encoder
 from tablepulse.llm.chat import format_pairs, preference_pairs, swapped_replies
@@ -134,10 +134,12 @@ def test_bucket_of_128_bit_keys():
 # 2
 
 
-@pytest.mark.parametrize("broadcast_rules", [1000, 0])
-def test_urls(spark, broadcast_rules):
+@pytest.mark.parametrize(("broadcast_rules", "hot_keys"), [(1000, 4096), (0, 4096), (1000, 3), (0, 1)])
+def test_urls(spark, monkeypatch, broadcast_rules, hot_keys):
+    """``hot_keys``: all URLs count as frequent, one that has half the rows, or none."""
+    monkeypatch.setattr(url_filters, "HOT_KEYS", hot_keys)
     rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("b.c", "", "block"), ("x.y", "/p", "allow"), ("x.y", "/p", "block"), (None, "/", "block"), ("", "/", "block")]
-    urls = ["http://Example.COM/en/71?q=/en/", "https://a.example.com/en/8", "http://notexample.com/en/7", "http://b.c", "http://a.b.c?x", "http://x.y/p/q", "no scheme", "", None, None, "://", "http://com/en/", "http://a.com./en/", "x://h#/en/", "http://x/a://com/en/"]
+    urls = ["http://Example.COM/en/71?q=/en/", "https://a.example.com/en/8", "http://notexample.com/en/7", "http://b.c", "http://a.b.c?x", "http://x.y/p/q", "no scheme", "", None, None, "://", "http://com/en/", "http://a.com./en/", "x://h#/en/", "http://x/a://com/en/", *["http://b.c/hot"] * 12]
     pages = spark.createDataFrame([(i % 5, u, "old", 1) for i, u in enumerate(urls)], "page_id int, url string, Verdict string, extra int")
     table = spark.createDataFrame(rules, "host string, path string, action string")
 
@@ -720,3 +722,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept == [clean | {30, 31, 40}, clean | {40}, clean]
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     check_packing([(r[0], r[1]) for r in rows if r[0] in clean], out, packing.Limits())
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, columns named like the operators' own, empty tables."""
+    spark.createDataFrame([(1, BASE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    good = lambda s: "the " + text(s, 60) + " and that is all"
+    rows = [(1, good(1), -7, "x"), (1, good(1), -8, "y"), (None, good(2), -7, "x"), (None, None, -7, "x"), (2, good(3), -7, None), (2, good(4), -7, "x"), (3, "the " + BASE + " and that is", -7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words long, matches string").repartition(2)
+    sizes = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+        docs = stage(spark, docs, str(tmp_path))
+        got = docs.collect()
+        sizes.append(len(got))
+        assert docs.columns == ["doc_id", "text", "n_words", "matches"] and all(r["n_words"] in (-7, -8) for r in got)
+    assert sizes == [6, 5, 4]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(pieces) == 4 and corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), str(tmp_path)).count() == 0
