@@ -42,7 +42,7 @@ PARTS, TOGETHER = 8, 32
 RANGE_WORDS = 1 << 20
 
 #: Bytes of the texts that a task holds at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 _FACTS = "batch long, turn int, kind int, r int, data binary"
 _MESSAGES = "batch long, kind int, r int, data binary"
