@@ -17,10 +17,12 @@ from .packed import ranges
 #: Places of a window, and how many of them the next window does not share.
 CONTEXT, STRIDE = 32, 24
 DIM, HIDDEN = 16, 32
-#: Windows that are scored, or learned from, together.
-BATCH, LEARN = 256, 48
+#: Windows whose states are worked out, or that are learned from, together.
+BATCH, LEARN = 96, 48
+#: Ids that are scored together.
+SCORED = 1 << 18
 #: The heaviest nodes of the tree, which most paths share, are worked out for all ids by matrix products.
-TOP = 64
+TOP = 63
 RATE = 0.15
 #: Squared gradients that every parameter begins with.
 PAST = 1e-2
@@ -66,15 +68,20 @@ class Tree:
         self.begin = np.concatenate([[0], np.cumsum(lengths)])
 
     @cached_property
-    def top(self) -> tuple[int, np.ndarray, np.ndarray]:
-        """The first of the heaviest nodes (Huffman's come last), the sign of each id's turn at each of them (0:
-        not on its path), and where the rest of each id's path ends (nodes rise along a path)."""
-        first = max(0, len(self.odds) - TOP)
+    def top(self) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """The first of the heaviest nodes (Huffman's come last); for each id which of them are on its path, with
+        numbers from 0 and ``TOP`` or so many as there are where the path is shorter, and the signs of its turns there
+        (then 0); how many others are on its path (nodes rise along a path, so they come before)."""
+        n, first = len(self.begin) - 1, max(0, len(self.odds) - TOP)
         high = self.node >= first
-        own = np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))
-        turn = np.zeros((len(self.begin) - 1, len(self.odds) - first), np.int8)
-        turn[own[high], self.node[high] - first] = self.sign[high]
-        return first, turn, self.begin[:-1] + np.bincount(own[~high], minlength=len(self.begin) - 1)
+        own = np.repeat(np.arange(n), np.diff(self.begin))
+        low = np.bincount(own[~high], minlength=n)
+        place = (np.arange(len(own)) - (self.begin[:-1] + low)[own])[high]
+        at = np.full((n, int(place.max(initial=-1)) + 1), len(self.odds) - first, np.int64)
+        turn = np.zeros(at.shape, np.float32)
+        at[own[high], place] = self.node[high] - first
+        turn[own[high], place] = self.sign[high]
+        return first, at, turn, low.astype(np.uint8)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "top"}
@@ -112,114 +119,175 @@ def unflat(values: np.ndarray, n_ids: int) -> dict[str, np.ndarray]:
 _MOST = np.where(np.tri(CONTEXT, dtype=bool), np.float32(60), np.float32(-1e9))
 
 
-def hidden(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """States after each place of the windows ``x``, from that place and those before it."""
-    X = m["E"].take(x, axis=0) + m["P"][: x.shape[1]]
-    flat_x = X.reshape(-1, DIM)
-    Q, K, V = ((flat_x @ m[w]).reshape(X.shape) for w in ("Wq", "Wk", "Wv"))
-    S = (Q * np.float32(DIM**-0.5)) @ np.ascontiguousarray(K.transpose(0, 2, 1))
-    np.minimum(S, _MOST[: x.shape[1], : x.shape[1]], out=S)
+def _attend(Q: np.ndarray, K: np.ndarray, V1: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of places (not divided by their sums), the means of values by them, and one over the sums. ``V1``: values
+    and a column of ones, which makes the sums."""
+    S = Q @ K.transpose(0, 2, 1)
+    np.minimum(S, most, out=S)
     np.exp(S, out=S)
-    S /= S @ np.ones((x.shape[1], 1), S.dtype)
-    C = (S @ V).reshape(-1, DIM)
-    H = flat_x + C @ m["Wo"]
-    R = np.maximum(H @ m["W1"] + m["b1"], np.float32(0))
-    return (H + R @ m["W2"]), (flat_x, Q, K, V, S, C, H, R)
-
-
-def choices(m: dict[str, np.ndarray], tree: Tree, g: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the heaviest nodes: the sign of each id ``y`` and sign * log odds. For each other node on the paths of
-    ``y``: which state decides, the node, its sign and sign * log odds."""
-    first, turn, low = tree.top
-    turned = turn.take(y, axis=0).astype(g.dtype)
-    top = g @ m["N"][first:].T
-    top += m["b"][first:]
-    top *= turned
-    which, at = ranges(tree.begin[y], low[y])
-    node, sign = tree.node.take(at), tree.sign.take(at)
-    z = np.einsum("ij,ij->i", g.take(which, axis=0), m["N"].take(node, axis=0))
-    z += m["b"].take(node)
-    z *= sign
-    return turned, top, which, node, sign, z
+    C = (S @ V1).reshape(-1, V1.shape[2])
+    over = np.reciprocal(C[:, -1:])
+    return S, C[:, :-1] * over, over
 
 
-def log_probability(m: dict[str, np.ndarray], tree: Tree, g: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the probability of each id ``y`` after the state ``g``."""
-    if not len(y):
-        return np.zeros(0)
-    turned, top, which, _, _, z = choices(m, tree, g, y)
-    # log(1 + exp(-z)) is log(1 + exp(-|z|)) - min(z, 0); factors of 1 to 2 can be multiplied before the logarithm
-    one = np.ones(top.shape[1], top.dtype)
-    out = top @ one
-    size = np.abs(top, out=top)
-    out -= size @ one
-    out *= 0.5
-    np.negative(size, out=size)
-    factor = np.exp(size, out=size)
-    factor *= np.abs(turned, out=turned)
-    factor += 1
-    while factor.shape[1] > 1:
-        half = factor.shape[1] // 2
-        factor = np.concatenate([factor[:, :half] * factor[:, half : 2 * half], factor[:, 2 * half :]], axis=1)
-    out = out.astype(np.float64) - np.log(factor[:, 0]) if factor.shape[1] else np.zeros(len(y))
-    size = np.abs(z)
-    loss = np.log(1 + np.exp(-size))
-    loss += (size - z) * 0.5
-    return out - np.bincount(which, loss, len(y))
+def _perceive(m: dict[str, np.ndarray], H: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    R = H @ m["W1"]
+    R += m["b1"]
+    np.maximum(R, R.dtype.type(0), out=R)
+    out = R @ m["W2"]
+    out += H
+    return out, R
 
 
-def step(m: dict[str, np.ndarray], past: dict[str, np.ndarray], tree: Tree, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> None:
-    """One step of Adagrad on windows ``x`` with next ids ``y`` where ``scored``."""
-    out, (X, Q, K, V, A, C, H, R) = hidden(m, x)
-    keep = np.flatnonzero(scored.reshape(-1))
-    g, ids = out[keep], y.reshape(-1)[keep]
-    turned, top, which, node, sign, z = choices(m, tree, g, ids)
-    first = tree.top[0]
-    dtop, dz = _pull(turned, top), _pull(sign, z)
-    grad = {}
-    dg = dtop @ m["N"][first:]
-    if len(which):
-        begin = np.flatnonzero(np.diff(which, prepend=-1))
-        dg[which[begin]] += _sums(dz[:, None] * m["N"].take(node, axis=0), begin)
-    _adagrad(m["N"][first:], past["N"][first:], dtop.T @ g)
-    _adagrad(m["b"][first:], past["b"][first:], dtop.sum(axis=0))
-    order, rows, begin = _groups(node, len(m["b"]))
-    _rows(m, past, "N", rows, begin, (dz[:, None] * g.take(which, axis=0)).take(order, axis=0))
-    _rows(m, past, "b", rows, begin, dz.take(order))
-    dG = np.zeros_like(out)
-    dG[keep] = dg
-    grad["W2"] = R.T @ dG
-    dU = (dG @ m["W2"].T) * (R > 0)
-    grad["W1"], grad["b1"] = H.T @ dU, dU.sum(axis=0)
-    dH = dG + dU @ m["W1"].T
-    grad["Wo"] = C.T @ dH
-    dC = (dH @ m["Wo"].T).reshape(Q.shape)
-    dS = dC @ np.ascontiguousarray(V.transpose(0, 2, 1))
-    dS -= np.einsum("ij,ij->i", dC.reshape(C.shape), C).reshape(*x.shape, 1)
-    dS *= A
-    dS *= np.float32(DIM**-0.5)
-    dX = dH
-    for name, d in (("Wq", dS @ K), ("Wk", dS.transpose(0, 2, 1) @ Q), ("Wv", A.transpose(0, 2, 1) @ dC)):
-        d = d.reshape(-1, DIM)
-        grad[name] = X.T @ d
-        dX = dX + d @ m[name].T
-    grad["P"] = dX.reshape(*x.shape, DIM).sum(axis=0)
-    order, rows, begin = _groups(x.reshape(-1), len(m["E"]))
-    _rows(m, past, "E", rows, begin, dX.take(order, axis=0))
-    for k, d in grad.items():
-        _adagrad(m[k], past[k], d)
+def hidden(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """States after each place of the windows ``x``, from that place and those before it."""
+    X = m["E"].take(x.reshape(-1), axis=0)
+    X.reshape(*x.shape, DIM)[:] += m["P"][: x.shape[1]]
+    W = np.concatenate([m["Wq"] * X.dtype.type(DIM**-0.5), m["Wk"], m["Wv"]], axis=1)
+    T = np.ones((len(X), 3 * DIM + 1), X.dtype)
+    np.matmul(X, W, out=T[:, :-1])
+    T = T.reshape(*x.shape, -1)
+    S, C, over = _attend(T[..., :DIM], T[..., DIM : 2 * DIM], T[..., 2 * DIM :], _MOST[: x.shape[1], : x.shape[1]])
+    H = C @ m["Wo"]
+    H += X
+    out, R = _perceive(m, H)
+    return out, (X, W, T, S, C, over, H, R)
+
+
+def log_probability(m: dict[str, np.ndarray], tree: Tree, g: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of each id ``y`` after the state ``g``. Rows of one id share a path, so
+    they are brought together, ids with paths of one length side by side."""
+    out = np.zeros(len(y))
+    if not len(y) or not len(tree.node):
+        return out
+    present = np.zeros(len(tree.begin) - 1, bool)
+    present[y] = True
+    ids = np.flatnonzero(present)
+    ids = ids[np.argsort(tree.begin[ids + 1] - tree.begin[ids], kind="stable")]
+    rank = np.zeros(len(present), np.uint16 if len(ids) <= 1 << 16 else np.int64)
+    rank[ids] = np.arange(len(ids))
+    own = rank.take(y)
+    order = np.argsort(own, kind="stable")
+    ends = np.cumsum(np.bincount(own, minlength=len(ids)))
+    state = np.ones((len(y), DIM + 1), g.dtype)
+    state[:, :DIM] = g.take(order, axis=0)
+    _, at = ranges(tree.begin[ids], tree.begin[ids + 1])
+    path = np.concatenate([m["N"].take(tree.node[at], axis=0), m["b"].take(tree.node[at])[:, None]], axis=1)
+    path *= tree.sign[at][:, None]
+    length = tree.begin[ids + 1] - tree.begin[ids]
+    edges = np.append(_starts(length), len(ids)).tolist()
+    row, first = 0, 0
+    for a, b in zip(edges, edges[1:]):
+        n, last = int(length[a]), int(ends[b - 1])
+        z = np.empty((n, last - first), g.dtype)
+        i = first
+        for j in ends[a:b].tolist():
+            np.matmul(path[row : row + n], state[i:j].T, out=z[:, i - first : j - first])
+            i, row = j, row + n
+        # log(1 + exp(-z)) is log(1 + exp(-|z|)) - min(z, 0); factors of 1 to 2 can be multiplied before the logarithm
+        log = np.minimum(z, z.dtype.type(0)).sum(axis=0)
+        np.abs(z, out=z)
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += 1
+        out[order[first:last]] = log - np.log(np.multiply.reduce(z, axis=0))
+        first = last
+    return out
 
 
-def _pull(sign: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """The derivative of log(1 + exp(-z)) by the log odds: -sign / (1 + exp(z)). Overwrites z."""
+def _slopes(z: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """The derivative of log(1 + exp(-sign * z)) by the log odds z: (tanh(z / 2) - sign) / 2. Overwrites z."""
     z *= 0.5
     np.tanh(z, out=z)
-    z -= 1
+    z -= sign
     z *= 0.5
-    z *= sign
     return z
 
 
+def _choices(m: dict[str, np.ndarray], past: dict[str, np.ndarray], tree: Tree, out: np.ndarray, place: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Learns the nodes on the paths of ids ``y`` after the states ``out`` at ``place``; the gradients of all states."""
+    first, at, turn, low = tree.top
+    size = low.take(y)
+    order = np.argsort(~size, kind="stable")  # longest first: those with a node of some rank are a prefix
+    place, y, size = place.take(order), y.take(order), size.take(order)
+    g = np.zeros((len(y), DIM + 2), out.dtype)  # a one for the odds; an even width for _sums
+    g[:, :DIM] = out.take(place, axis=0)
+    g[:, DIM] = 1
+    n_top = len(m["b"]) - first
+    heavy = np.zeros((n_top + 1, DIM + 2), out.dtype)  # the last: no node
+    heavy[:-1, :DIM] = m["N"][first:]
+    heavy[:-1, DIM] = m["b"][first:]
+    top = g @ heavy.T
+    where = at.take(y, axis=0)
+    where += (np.arange(len(y)) * (n_top + 1))[:, None]
+    slope = _slopes(top.take(where), turn.take(y, axis=0))
+    top.fill(0)
+    top.reshape(-1)[where] = slope
+    dg = top @ heavy[:, :DIM]
+    d = (top.T @ g)[:-1]
+    reach = len(y) - np.cumsum(np.bincount(size))[:-1]
+    edges = np.concatenate([[0], np.cumsum(reach)]).tolist()
+    if edges[-1]:
+        begin, index = tree.begin.take(y), np.empty(edges[-1], np.int64)
+        spans = [(k, n, slice(a, b)) for k, (n, a, b) in enumerate(zip(reach.tolist(), edges, edges[1:]))]
+        for k, n, some in spans:
+            np.add(begin[:n], k, out=index[some])
+        node = tree.node.take(index)
+        rows = m["N"].take(node, axis=0)
+        z = m["b"].take(node)
+        for _, n, some in spans:
+            z[some] += np.einsum("ij,ij->i", g[:n, :DIM], rows[some])
+        slope = _slopes(z, tree.sign.take(index))[:, None]
+        rows *= slope
+        pulled = np.empty((len(node), DIM + 2), out.dtype)
+        for _, n, some in spans:
+            dg[:n] += rows[some]
+            np.multiply(g[:n], slope[some], out=pulled[some])
+        order, row, begin = _groups(node, len(m["b"]))
+        pulled = _sums(pulled.take(order, axis=0), begin)
+        _rows(m, past, "N", row, pulled[:, :DIM])
+        _rows(m, past, "b", row, pulled[:, DIM])
+    _adagrad(m["N"][first:], past["N"][first:], d[:, :DIM])
+    _adagrad(m["b"][first:], past["b"][first:], d[:, DIM])
+    dG = np.zeros_like(out)
+    dG[place] = dg
+    return dG
+
+
+def step(m: dict[str, np.ndarray], past: dict[str, np.ndarray], tree: Tree, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> None:
+    """One step of Adagrad on windows ``x`` with next ids ``y`` where ``scored``."""
+    out, (X, W, T, S, C, over, H, R) = hidden(m, x)
+    place = np.flatnonzero(scored)
+    dG = _choices(m, past, tree, out, place, y.reshape(-1).take(place))
+    grad = {"W2": R.T @ dG}
+    dU = dG @ m["W2"].T
+    dU *= R > 0
+    grad["W1"], grad["b1"] = H.T @ dU, np.ones(len(dU), dU.dtype) @ dU
+    dX = dU @ m["W1"].T
+    dX += dG
+    grad["Wo"] = C.T @ dX
+    dC = np.empty((len(dX), DIM + 1), dX.dtype)  # and what the sum of weights takes back
+    np.matmul(dX, m["Wo"].T, out=dC[:, :-1])
+    dC[:, :-1] *= over
+    np.negative(np.einsum("ij,ij->i", dC[:, :-1], C), out=dC[:, -1])
+    dC = dC.reshape(*x.shape, -1)
+    dS = dC @ T[..., 2 * DIM :].transpose(0, 2, 1)
+    dS *= S
+    dT = np.empty((*x.shape, 3 * DIM), dX.dtype)
+    np.matmul(dS, T[..., DIM : 2 * DIM], out=dT[..., :DIM])
+    np.matmul(dS.transpose(0, 2, 1), T[..., :DIM], out=dT[..., DIM : 2 * DIM])
+    np.matmul(S.transpose(0, 2, 1), dC[..., :-1], out=dT[..., 2 * DIM :])
+    dT = dT.reshape(len(dX), -1)
+    dW = X.T @ dT
+    grad["Wq"], grad["Wk"], grad["Wv"] = dW[:, :DIM] * dW.dtype.type(DIM**-0.5), dW[:, DIM : 2 * DIM], dW[:, 2 * DIM :]
+    dX += dT @ W.T
+    grad["P"] = dX.reshape(len(x), -1).sum(axis=0).reshape(-1, DIM)
+    order, row, begin = _groups(x.reshape(-1), len(m["E"]))
+    _rows(m, past, "E", row, _sums(dX.take(order, axis=0), begin))
+    for k, d in grad.items():
+        _adagrad(m[k], past[k], d)
+
+
 def _sums(d: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Sums of runs of rows; pairs of columns are added as complex numbers, which takes half the time."""
     if d.ndim == 1:
@@ -232,19 +300,23 @@ def _adagrad(values: np.ndarray, past: np.ndarray, d: np.ndarray) -> None:
     values -= np.float32(RATE) * d / np.sqrt(past)
 
 
+def _starts(row: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.ones(len(row), bool)
+    np.not_equal(row[1:], row[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _groups(row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order that brings equal rows together, the rows, and where each begins."""
     order = np.argsort(row.astype(np.uint16) if n <= 1 << 16 else row, kind="stable")  # by digits, if in 16 bits
     row = row.take(order)
-    begin = np.flatnonzero(np.diff(row, prepend=-1))
+    begin = _starts(row)
     return order, row[begin], begin
 
 
-def _rows(m: dict[str, np.ndarray], past: dict[str, np.ndarray], name: str, row: np.ndarray, begin: np.ndarray, d: np.ndarray) -> None:
+def _rows(m: dict[str, np.ndarray], past: dict[str, np.ndarray], name: str, row: np.ndarray, d: np.ndarray) -> None:
     """Adagrad on the rows of a table that a step has touched."""
-    if not len(row):
-        return
-    d = _sums(d, begin)
     p = past[name].take(row, axis=0)
     p += d * d
     past[name][row] = p
@@ -257,16 +329,24 @@ def window_places(at: np.ndarray, stride: int | None = None) -> tuple[np.ndarray
     return ranges(np.zeros(len(length), np.int64), np.where(length <= CONTEXT, 1, 1 + -(-(length - CONTEXT) // stride)))
 
 
-def fill_windows(ids: np.ndarray, at: np.ndarray, end: int, text: np.ndarray, k: np.ndarray, stride: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, next ids, and which of those are scored, for windows ``k`` of ``text``."""
+def sides(ids: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Before each id of the texts the id that it follows, and the ids; after all of them: ``end``."""
+    x, y = np.full(len(ids) + 1, end, np.int64), np.full(len(ids) + 1, end, np.int64)
+    y[:-1] = ids
+    x[1:] = ids
+    x[at] = end
+    return x, y
+
+
+def fill_windows(both: tuple[np.ndarray, np.ndarray], at: np.ndarray, text: np.ndarray, k: np.ndarray, stride: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, next ids, and which of those are scored, for windows ``k`` of ``text``; ``both``: of ``sides``."""
     stride = stride or STRIDE
-    place = k[:, None] * stride + np.arange(CONTEXT)
-    there = place < np.diff(at)[text][:, None]
-    scored = there & ((k[:, None] == 0) | (np.arange(CONTEXT) >= CONTEXT - stride))
-    index = np.where(there, at[text][:, None] + place, 0)
-    y = np.where(there, ids[index], end)
-    x = np.where(there & (place > 0), ids[np.maximum(index - 1, 0)], end)
-    return x, y, scored
+    place = np.arange(CONTEXT)
+    index = (at.take(text) + k * stride)[:, None] + place
+    there = index < at.take(text + 1)[:, None]
+    index[~there] = len(both[0]) - 1
+    scored = there & ((k[:, None] == 0) | (place >= CONTEXT - stride)) if stride < CONTEXT else there
+    return both[0].take(index), both[1].take(index), scored
 
 
 def cut_windows(ids: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -274,39 +354,64 @@ def cut_windows(ids: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray,
     after one. Returns inputs, next ids, which of those the window scores (each id of a text once in all its
     windows), and the text of each window."""
     text, k = window_places(at)
-    return *fill_windows(ids, at, end, text, k), text
+    return *fill_windows(sides(ids, at, end), at, text, k), text
+
+
+def _table(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each id and of each place what it adds to the query, the key, the value as ``Wo`` has it and a one, and the
+    state: all of them are linear in the embeddings."""
+    W = np.concatenate([m["Wq"] * m["Wq"].dtype.type(DIM**-0.5), m["Wk"], m["Wv"] @ m["Wo"], np.zeros((DIM, 1), m["E"].dtype), np.eye(DIM, dtype=m["E"].dtype)], axis=1)
+    of_place = m["P"] @ W
+    of_place[:, 3 * DIM] = 1
+    return m["E"] @ W, of_place
+
+
+def _states(m: dict[str, np.ndarray], table: tuple[np.ndarray, np.ndarray], x: np.ndarray, first: int) -> np.ndarray:
+    """As ``hidden``, for the places from ``first`` of each window."""
+    T = table[0].take(x, axis=0)
+    T += table[1]
+    _, C, _ = _attend(T[:, first:, :DIM], T[..., DIM : 2 * DIM], T[..., 2 * DIM : 3 * DIM + 1], _MOST[first:])
+    C += T[:, first:, 3 * DIM + 1 :].reshape(-1, DIM)
+    return _perceive(m, C)[0]
 
 
 def score(m: dict[str, np.ndarray], tree: Tree, ids: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
     """Natural logarithm of the probability of each text."""
     out = np.zeros(len(at) - 1)
+    table = _table(m)
     step_texts = 0
     while step_texts < len(at) - 1:  # texts of some hundred thousand ids at a time
-        last = max(step_texts + 1, int(np.searchsorted(at, at[step_texts] + (1 << 18), "right")) - 1)
+        last = max(step_texts + 1, int(np.searchsorted(at, at[step_texts] + SCORED, "right")) - 1)
         own = at[step_texts : last + 1]
-        for x, y, scored, text in _blocks(ids[own[0] : own[-1]], own - own[0], end):
-            state, _ = hidden(m, x)
-            keep = np.flatnonzero(scored.reshape(-1))
-            p = log_probability(m, tree, state[keep], y.reshape(-1)[keep])
-            out[step_texts:last] += np.bincount(np.repeat(text, scored.sum(axis=1)), p, last - step_texts)
+        own, both = own - own[0], sides(ids[own[0] : own[-1]], own - own[0], end)
+        text, k = window_places(own)
+        for first, some in ((0, np.flatnonzero(k == 0)), (CONTEXT - STRIDE, np.flatnonzero(k))):
+            for i in range(0, len(some), SCORED // CONTEXT):
+                out[step_texts:last] += _score_windows(m, table, tree, both, own, text[some[i : i + SCORED // CONTEXT]], k[some[i : i + SCORED // CONTEXT]], first)
         step_texts = last
     return out
 
 
-def _blocks(ids: np.ndarray, at: np.ndarray, end: int):
-    text, k = window_places(at)
+def _score_windows(m: dict, table: tuple, tree: Tree, both: tuple, at: np.ndarray, text: np.ndarray, k: np.ndarray, first: int) -> np.ndarray:
+    """What windows ``k`` of ``text``, which score the places from ``first``, add to the scores of all texts."""
+    states, follow, counts = [], [], []
     for i in range(0, len(text), BATCH):
-        own = text[i : i + BATCH]
-        yield *fill_windows(ids, at, end, own, k[i : i + BATCH]), own
+        x, y, scored = fill_windows(both, at, text[i : i + BATCH], k[i : i + BATCH])
+        keep = np.flatnonzero(scored[:, first:])
+        states.append(_states(m, table, x, first).take(keep, axis=0))
+        follow.append(y[:, first:].reshape(-1).take(keep))
+        counts.append(scored.sum(axis=1))
+    p = log_probability(m, tree, np.concatenate(states), np.concatenate(follow)) if states else np.zeros(0)
+    return np.bincount(np.repeat(text, np.concatenate(counts)), p, len(at) - 1)
 
 
 def training_blocks(ids: np.ndarray, at: np.ndarray, end: int, learned: np.ndarray):
     """Windows to learn from, side by side, so that each id of the texts ``learned`` is learned once."""
     text, k = window_places(at, CONTEXT)
-    own = np.flatnonzero(learned[text])
+    own, both = np.flatnonzero(learned[text]), sides(ids, at, end)
     for i in range(0, len(own), LEARN):
         some = own[i : i + LEARN]
-        yield fill_windows(ids, at, end, text[some], k[some], CONTEXT)
+        yield fill_windows(both, at, text[some], k[some], CONTEXT)
 
 
 def train(m: dict[str, np.ndarray], past: dict[str, np.ndarray], tree: Tree, blocks) -> int:

@@ -57,8 +57,8 @@ class _Batch:
         data, at = utf8(texts)
         starts, ends, self.at = bounds(data, at, SPACES)
         self.types, first, self.word = np.unique(hashes(data, starts, ends, SPACES), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        words = [raw[a:b].lower() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        raw = data.tobytes().lower()
+        words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         self.unit_ids, self.unit_at = _encode(words, path)
 
 
@@ -89,14 +89,14 @@ def _encode(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     ids, at = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
     held = 0
     for i in range(0, len(words), 8192):
-        part = [w.decode("utf-8", "replace") for w in words[i : i + 8192]]
+        part = words[i : i + 8192]
         try:
-            got = engine.encode_to_numpy(" " + " ".join(part), disallowed_special=()).astype(np.int64)
+            got = engine.encode_to_numpy((b" " + b" ".join(part)).decode("utf-8", "replace"), disallowed_special=()).astype(np.int64)
             begins = np.flatnonzero(spaced[got])
         except ValueError:  # too long a run of such white space as the next line tells of
             begins = ()
         if len(begins) != len(part):  # words with white space of other scripts in them
-            each = [encoder(path).plain(" " + w).astype(np.int64) for w in part]
+            each = [encoder(path).plain(" " + w.decode("utf-8", "replace")).astype(np.int64) for w in part]
             got, begins = np.concatenate(each), np.cumsum([0, *map(len, each)])[:-1]
         ids.append(got)
         at.append(np.append(begins[1:], len(got)) + held)

@@ -393,6 +393,24 @@ def test_probabilities_sum_to_one():
     assert np.exp(attention.log_probability(model, tree, state, np.arange(6))).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_only_nodes_on_the_paths_are_worked_out():
+    """Of 65,536 ids with paths of 7 to 8 nodes: no table of all heavy nodes is held, and each sum is that of its path."""
+    rng = np.random.default_rng(6)
+    tree = attention.Tree(np.ones(200, np.int64))
+    model = attention.start(tree, 200)
+    model["N"] = rng.standard_normal(model["N"].shape).astype(np.float32)
+    state, y = rng.standard_normal((1 << 16, attention.DIM)).astype(np.float32), rng.integers(0, 200, 1 << 16)
+    tracemalloc.start()
+    got = attention.log_probability(model, tree, state, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+    for i in range(0, 1 << 16, 997):
+        path = slice(tree.begin[y[i]], tree.begin[y[i] + 1])
+        z = tree.sign[path] * (model["N"][tree.node[path]] @ state[i] + model["b"][tree.node[path]])
+        assert got[i] == pytest.approx(-np.log1p(np.exp(-z)).sum(), rel=1e-4)
+
+
 def test_windows_score_each_id_once_and_causally():
     lengths = [1, 5, 32, 33, 56, 57, 200]
     at = np.concatenate([[0], np.cumsum(lengths)])
