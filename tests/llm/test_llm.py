@@ -758,3 +758,17 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     assert sizes == [6, 5, 4]
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert len(pieces) == 4 and corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_stages_keep_awkward_rows_apart(spark, tmp_path):
+    """As above, with no text that is the benchmark's own: two rows of one id and text are one, texts of one id two."""
+    spark.createDataFrame([(1, BASE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    good = lambda s: "the " + text(s, 60) + " and that is all"
+    rows = [(1, good(11), -7, "x"), (1, good(11), -8, "y"), (None, good(12), -7, "x"), (None, None, -7, "x"), (2, good(13), -7, None), (2, good(14), -7, "x"), (3, "the " + BASE + " and that is", -7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words long, matches string").repartition(2)
+    kept = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        kept.append(sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect()))
+    two, clean = (1, good(11)), [(0, good(12)), (1, good(11)), (2, good(13)), (2, good(14))]
+    assert kept == [sorted([*clean, two, (3, rows[-1][1])]), sorted([*clean, (3, rows[-1][1])]), sorted(clean)]
